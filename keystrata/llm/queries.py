@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parquet, scratch
+from .neardup import near_duplicates
 from .media import media_features, read_archives, write_archives
 from .packing import pack, token_pieces
 from .sharding import shard_documents
@@ -26,6 +27,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest, with_ids=False)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(parquet(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(parquet(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return read_warc(spark, manifest).drop("url")
@@ -44,6 +49,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_token_files": op3_token_files,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op10_media": op10_media,
