@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parquet, scratch
+from .decontam import ORACLE as DECONTAM_ORACLE
+from .decontam import contaminated
 from .neardup import near_duplicates
 from .media import media_features, read_archives, write_archives
 from .packing import pack, token_pieces
 from .sharding import shard_documents
+from .substrings import repeated_passages
 from .tokens import read_token_files, write_token_files
 from .warc import read_warc, write_warc
 
@@ -22,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(parquet(spark, sf_dir, "documents"), scratch(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, manifest, with_ids=False)
@@ -40,6 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(parquet(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(parquet(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
     write_archives(parquet(spark, sf_dir, "documents"), folder)
@@ -48,11 +59,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_warc": op5_warc,
     "op7_packing": op7_packing,
+    "op8_suffix_arrays": op8_suffix_arrays,
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": DECONTAM_ORACLE}
