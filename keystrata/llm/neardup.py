@@ -209,3 +209,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     by_class = found.union(alone)
     discard(spark, buckets, candidates)
     return by_class.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose document is kept; rows that repeat a kept id all stay, rows without an id too."""
+    dropped = near_duplicates(docs, percent, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
+    dropped = materialise(dropped.distinct(), "near-duplicates")
+    return docs.join(bounded_broadcast(dropped, dropped.count()), id_col, "left_anti")

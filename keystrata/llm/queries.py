@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from .common import parquet, scratch
 from .decontam import ORACLE as DECONTAM_ORACLE
 from .decontam import contaminated
+from .licenses import license_notices
 from .neardup import near_duplicates
 from .media import media_features, read_archives, write_archives
 from .packing import pack, token_pieces
 from .sharding import shard_documents
 from .substrings import repeated_passages
 from .tokens import read_token_files, write_token_files
+from .toxicity import fit_chain, toxicity
 from .warc import read_warc, write_warc
 
 
@@ -43,6 +45,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, manifest).drop("url")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(parquet(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(parquet(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -51,6 +57,11 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(parquet(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents")
+    return toxicity(docs, fit_chain(docs, parquet(spark, sf_dir, "labels")))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
     write_archives(parquet(spark, sf_dir, "documents"), folder)
@@ -63,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_warc": op5_warc,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_suffix_arrays": op8_suffix_arrays,
+    "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 
