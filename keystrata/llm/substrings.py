@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, materialise
+from .common import discard, materialise
 from .words import mix, powers, text_slices, words
 
 #: Words of a passage, of a selecting window and of a gram in it.
@@ -82,23 +82,41 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_neighbours(keys: list[str]):
-    """Adds `same_before` and `same_after` (equal keys of the neighbours in the part; null at its ends), and the part."""
+    """Drops repeated rows, which are neighbours, and adds same_before and same_after (equal keys of the neighbours in
+    the part; null at its ends), first_doc_id (of the first row with the keys; null if that may lie in an earlier
+    part) and part."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, before = TaskContext.get().partitionId(), None, None
+        part, held, last, first = TaskContext.get().partitionId(), None, None, None
+
+        def single(batch: pa.RecordBatch, last: tuple | None) -> pa.RecordBatch:
+            values = [batch.column(k).to_numpy() for k in (*keys, "doc_id", "at")]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+            new[0] = last is None or tuple(v[0] for v in values) != last
+            return batch.filter(pa.array(new))
 
         def made(batch: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+            nonlocal first
             values = [batch.column(k).to_numpy() for k in keys]
             same = np.logical_and.reduce([v[1:] == v[:-1] for v in values])
-            head = [None if before is None else tuple(v[0] for v in values) == before]
-            tail = [None if after is None else tuple(v[-1] for v in values) == after]
+            head = None if before is None else tuple(v[0] for v in values) == before
+            tail = None if after is None else tuple(v[-1] for v in values) == after
+            begins = np.concatenate([[head is False], ~same])
+            doc_ids = batch.column("doc_id").to_numpy()
+            begin = np.maximum.accumulate(np.where(begins, np.arange(len(doc_ids)), -1))
+            firsts = pa.array(np.where(begin >= 0, doc_ids[begin], 0 if first is None else first), pa.int64(), mask=(begin < 0) & (first is None))
+            first = firsts[-1].as_py()
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(head + same.tolist(), pa.bool_()), pa.array(same.tolist() + tail, pa.bool_()), pa.array(np.full(batch.num_rows, part, np.int32))],
-                names=[*batch.schema.names, "same_before", "same_after", "part"],
+                [*batch.columns, pa.array([head, *same.tolist()], pa.bool_()), pa.array([*same.tolist(), tail], pa.bool_()), firsts, pa.array(np.full(batch.num_rows, part, np.int32))],
+                names=[*batch.schema.names, "same_before", "same_after", "first_doc_id", "part"],
             )
 
+        before = None
         for batch in batches:
+            batch = single(batch, last) if batch.num_rows else batch
             if batch.num_rows:
+                last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in (*keys, "doc_id", "at"))
                 if held is not None:
                     yield made(held, before, tuple(batch.column(k)[0].as_py() for k in keys))
                     before = tuple(held.column(k)[held.num_rows - 1].as_py() for k in keys)
@@ -110,21 +128,27 @@ def _with_neighbours(keys: list[str]):
 
 
 def compared(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows sorted by keys, doc_id and at, with same_before and same_after: whether the neighbour has the same keys.
+    """Distinct rows sorted by keys, doc_id and at, with same_before and same_after (whether the neighbour has the same
+    keys) and first_doc_id (of the first row with these keys).
 
     Sorted by ranges, so equal keys may span tasks; the rows at the ends of the parts, two a part, are compared on
     the driver.
     """
     by = [*keys, "doc_id", "at"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", same_before boolean, same_after boolean, part int"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", same_before boolean, same_after boolean, first_doc_id long, part int"
     table = materialise(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_with_neighbours(keys), schema), name)
     key = F.struct(*keys)
-    heads = dict(table.where("same_before is null").select("part", key).collect())
-    tails = dict(table.where("same_after is null").select("part", key).collect())
-    parts = sorted(heads)
-    ends = [(p, k > 0 and tails[parts[k - 1]] == heads[p], k + 1 < len(parts) and tails[p] == heads[parts[k + 1]]) for k, p in enumerate(parts)]
-    ends = rows.sparkSession.createDataFrame(ends, "part int, head boolean, tail boolean")
-    out = table.join(F.broadcast(ends), "part").withColumn("same_before", F.coalesce("same_before", "head")).withColumn("same_after", F.coalesce("same_after", "tail")).drop("head", "tail", "part")
+    heads = {r[0]: r[1:] for r in table.where("same_before is null").select("part", key, "doc_id").collect()}
+    tails = {r[0]: r[1:] for r in table.where("same_after is null").select("part", key, "first_doc_id").collect()}
+    parts, ends, carried = sorted(heads), [], None
+    for k, p in enumerate(parts):
+        head = k > 0 and tails[parts[k - 1]][0] == heads[p][0]
+        first = carried if head else heads[p][1]
+        ends.append((p, head, k + 1 < len(parts) and tails[p][0] == heads[parts[k + 1]][0], first))
+        carried = tails[p][1] if tails[p][1] is not None else first
+    ends = rows.sparkSession.createDataFrame(ends, "part int, head boolean, tail boolean, carried long")
+    filled = {"same_before": "head", "same_after": "tail", "first_doc_id": "carried"}
+    out = table.join(F.broadcast(ends), "part").withColumns({k: F.coalesce(k, v) for k, v in filled.items()}).drop(*filled.values(), "part")
     out._scratch_path = table._scratch_path
     return out
 
@@ -172,12 +196,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = compared(suffixes, ["gram", "suffix"], "suffix-order")
     places = materialise(order.where("same_before or same_after").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places")), "repeated-places")
     discard(spark, suffixes, order)
-    n = places.count()
-    near = texts.join(bounded_broadcast(places, n, 20_000), "doc_id")
-    passages = materialise(near.select("doc_id", "text", "places").mapInArrow(_passages, "code long, doc_id long, at long").distinct(), "passages")
-    sorted_passages = compared(passages, ["code"], "passage-order")
-    firsts = sorted_passages.where("same_after and not same_before").select("code", F.col("doc_id").alias("first_doc_id"))
-    later = sorted_passages.where("same_before").select("code", "doc_id", "at").join(firsts, "code")
+    near = texts.join(places, "doc_id")
+    passages = materialise(near.select("doc_id", "text", "places").mapInArrow(_passages, "code long, doc_id long, at long"), "passages")
+    later = compared(passages, ["code"], "passage-order").where("same_before").select("doc_id", "at", "first_doc_id")
     out = later.groupBy("doc_id").applyInArrow(_joined, "doc_id long, start_word long, end_word long, first_doc_id long")
     discard(spark, passages, places)
     return out
@@ -214,7 +235,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     spans = materialise(spans, "spans")
-    joined = docs.join(bounded_broadcast(spans, spans.count(), 20_000), "doc_id", "left").select(*docs.columns, "spans")
+    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", words_left boolean"
     out = joined.mapInArrow(_cut, schema).where("words_left").drop("words_left")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
