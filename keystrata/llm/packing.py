@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
 from .ordering import numbered
 from .tokenise import encoder
 
@@ -159,7 +160,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     length over range partitions; the driver gets a count per partition and the histogram of lengths.
     """
     by = ["length", *order]
-    rows, before = numbered(pieces, by, "pack-pieces")
+    # written first: sampling for the ranges would make the pieces, and so the tokens, a second time
+    written = materialise(pieces, "pieces")
+    rows, before = numbered(written, by, "pack-pieces")
+    discard(pieces.sparkSession, written)
     histogram = dict(rows.groupBy("length").agg(F.count("*")).collect())
     if any(k is None or not 1 <= k <= capacity for k in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
