@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, discard, materialise
 from .components import connected_components
+from .tokenise import release
 from .words import mix, shingle_sets, shingles, text_slices, words
 
 BANDS, ROWS, WIDTH = 30, 5, 5
@@ -49,6 +50,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: size of the shingle set, a digest of the set, the signature (null without shingles)."""
     import hashlib
 
+    release()
     for batch in batches:
         for low, high, data, offsets in text_slices(batch.column(1)):
             grams, begin = shingles(*words(data, offsets), WIDTH)

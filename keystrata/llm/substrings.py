@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
+from .tokenise import release
 from .words import mix, powers, text_slices, words
 
 #: Words of a passage, of a selecting window and of a gram in it.
@@ -64,6 +65,7 @@ def selected(hashes: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for low, high, data, offsets in text_slices(batch.column(1)):
             hashes, first = words(data, offsets)

@@ -101,3 +101,8 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, keeps_space)
     return _encoders[key]
+
+
+def release() -> None:
+    """Give back the pieces that this worker remembers; called by operators that need the memory for other work."""
+    _encoders.clear()

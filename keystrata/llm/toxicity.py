@@ -23,7 +23,7 @@ BUCKETS = 1 << 20
 FOLDS = 3
 LANGUAGES = 8
 #: Distinct words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def bare(word: str) -> str:
