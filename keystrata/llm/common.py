@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,6 +80,31 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
     return F.broadcast(df) if rows <= most else df
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def thrifty(work: Callable) -> Callable:
+    """A mapInArrow function that gives free memory back after each batch and at its end."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                give_back()
+
+        yield from work(passed())
+        give_back()
+
+    return run
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, materialise
+from .common import bounded_broadcast, discard, materialise, thrifty
 from .components import connected_components
 from .tokenise import release
 from .words import mix, shingle_sets, shingles, text_slices, words
@@ -46,6 +46,7 @@ def signatures(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+@thrifty
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: size of the shingle set, a digest of the set, the signature (null without shingles)."""
     import hashlib
@@ -97,6 +98,7 @@ def _agreeing(percent: int):
 
 
 def _confirmed(percent: int):
+    @thrifty
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows, bool)

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, thrifty
 from .ordering import numbered
 from .tokenise import encoder
 
 CAPACITY = 2048
+#: Pieces that a worker remembers here; few enough to leave memory to the other stages of a pipeline.
+REMEMBERED = 500_000
 
 
 def largest_pair(lengths: list[int], counts: dict[int, int], room: int) -> int:
@@ -136,8 +138,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: in
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     step, end = 4 * capacity, struct.pack("<I", end_id)
 
+    @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, keeps_space)
+        encode = encoder(vocabulary, keeps_space, REMEMBERED)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, thrifty
 from .tokenise import release
 from .words import mix, powers, text_slices, words
 
@@ -64,6 +64,7 @@ def selected(hashes: np.ndarray) -> np.ndarray:
     return sliding_least(window_hashes(hashes, GRAM), SPAN)[:passages]
 
 
+@thrifty
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
@@ -155,6 +156,7 @@ def compared(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return out
 
 
+@thrifty
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages whose selected suffix is among the document's repeated places."""
     for batch in batches:
@@ -206,6 +208,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out
 
 
+@thrifty
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their spans, and whether words are left."""
     for batch in batches:

@@ -95,11 +95,11 @@ class _Both:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, remembered: int = REMEMBERED) -> Encoder:
     """This worker's encoder for a vocabulary file; it lives as long as the worker."""
     key = (path, keeps_space)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, keeps_space)
+        _encoders[key] = Encoder(path, keeps_space, remembered)
     return _encoders[key]
 
 

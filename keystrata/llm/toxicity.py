@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+from .tokenise import release
+
 #: Labelled documents that a chain is fitted on, at most (those with the least hash of their id).
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 20
@@ -158,7 +161,9 @@ def fit_rows(features: list[np.ndarray], toxic: np.ndarray, language: list[str |
     return Chain([name for name, _ in targets], links, threshold)
 
 
+@thrifty
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         sets = [text_features(x.as_py() or "") for x in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(sets, pa.list_(pa.int32()))], names=["toxic", "lang", "features"])
@@ -208,7 +213,9 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     names = [f"p_{c}" for c in chain.categories]
 
+    @thrifty
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = _Scorer(chain)
         for batch in batches:
             p = np.asarray([scorer(x.as_py() or "") for x in batch.column("text")]).reshape(batch.num_rows, len(names))
@@ -221,7 +228,9 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """Rows of docs, all columns, that the chain does not call toxic."""
 
+    @thrifty
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = _Scorer(chain)
         for batch in batches:
             yield batch.filter(pa.array([bool(scorer(x.as_py() or "")[-1] < chain.threshold) for x in batch.column("text")], pa.bool_()))
