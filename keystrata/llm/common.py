@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows (not documents' texts: slim keys) that a side may have to be broadcast.
 BROADCAST_ROWS = 400_000
+#: Bytes of an Arrow batch between the JVM and Python, about.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +83,15 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
     return F.broadcast(df) if rows <= most else df
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let this session hand Python Arrow batches of about `most` bytes (one row at least), where Spark's own bound
+    is larger: a batch is held by the JVM outside its heap and by the worker at once, in every running task."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", spark.conf.get(setting)) or 0)
+    if not 0 < now <= most:
+        spark.conf.set(setting, str(most))
+
+
 def give_back() -> None:
     """Return free memory of this process to the system, so that idle workers hold little."""
     pa.default_memory_pool().release_unused()

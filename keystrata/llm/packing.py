@@ -22,7 +22,7 @@ from .ordering import numbered
 from .tokenise import encoder
 
 CAPACITY = 2048
-#: Pieces that a worker remembers here; few enough to leave memory to the other stages of a pipeline.
+#: Pieces that a worker remembers here, if not told otherwise.
 REMEMBERED = 500_000
 
 
@@ -131,16 +131,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return reduce_dominated(counts, capacity) + best_fit(counts, capacity)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, keeps_space: bool = False, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, keeps_space: bool = False, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of at most `capacity` ids of every text with end_id behind it: doc_id, piece, start, length, ids_crc32
-    and, if asked for, token_ids (binary, little-endian unsigned 32-bit). Null and empty texts: the end id only."""
+    and, if asked for, token_ids (binary, little-endian unsigned 32-bit). Null and empty texts: the end id only.
+    A worker remembers the ids of at most `remembered` white-space pieces; further ones are encoded each time."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["token_ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     step, end = 4 * capacity, struct.pack("<I", end_id)
 
     @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, keeps_space, REMEMBERED)
+        encode = encoder(vocabulary, keeps_space, remembered)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

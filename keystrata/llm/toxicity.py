@@ -25,7 +25,7 @@ SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 20
 FOLDS = 3
 LANGUAGES = 8
-#: Distinct words that a worker remembers.
+#: Distinct words that a worker remembers, if not told otherwise.
 REMEMBERED = 250_000
 
 
@@ -188,8 +188,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
 class _Scorer:
     """Probabilities of texts; the features that a model uses are looked up once for each distinct word."""
 
-    def __init__(self, chain: Chain):
-        self.chain, self.used, self.seen, self.hits = chain, chain.used(), set(), {}
+    def __init__(self, chain: Chain, remembered: int = REMEMBERED):
+        self.chain, self.used, self.seen, self.hits, self.remembered = chain, chain.used(), set(), {}, remembered
         self.none = chain.probabilities(set())
 
     def __call__(self, text: str) -> np.ndarray:
@@ -199,7 +199,7 @@ class _Scorer:
             features = tuple(f for f in word_features(word) if f in self.used)
             if features:
                 self.hits[word] = features
-            if len(self.seen) < REMEMBERED:
+            if len(self.seen) < self.remembered:
                 self.seen.add(word)
         buckets = {f for w in hits.keys() & found for f in hits[w]}
         return self.chain.probabilities(buckets) if buckets else self.none
@@ -225,13 +225,13 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"`{n}` double" for n in names) + ", toxic boolean")
 
 
-def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
-    """Rows of docs, all columns, that the chain does not call toxic."""
+def without_toxic(docs: DataFrame, chain: Chain, remembered: int = REMEMBERED) -> DataFrame:
+    """Rows of docs, all columns, that the chain does not call toxic; a worker remembers `remembered` words at most."""
 
     @thrifty
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        scorer = _Scorer(chain)
+        scorer = _Scorer(chain, remembered)
         for batch in batches:
             yield batch.filter(pa.array([bool(scorer(x.as_py() or "")[-1] < chain.threshold) for x in batch.column("text")], pa.bool_()))
 
