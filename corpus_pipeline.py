@@ -5,26 +5,32 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm.common import materialise, parquet
+from keystrata.llm.common import bound_batches, materialise, parquet
 from keystrata.llm.decontam import decontaminate
 from keystrata.llm.neardup import without_near_duplicates
 from keystrata.llm.packing import pack, token_pieces
 from keystrata.llm.substrings import without_repeats
 from keystrata.llm.toxicity import fit_chain, without_toxic
 
+#: Words, and pieces for packing, that a Python worker remembers: few, as the stages share their executors' memory.
+REMEMBERED = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a chain fitted on the table labels does not call toxic."""
-    return without_toxic(docs, fit_chain(docs, parquet(spark, sf_dir, "labels")))
+    bound_batches(spark)
+    return without_toxic(docs, fit_chain(docs, parquet(spark, sf_dir, "labels")), remembered=REMEMBERED)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of similarity 0.8 or more."""
+    bound_batches(spark)
     return without_near_duplicates(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that occur earlier."""
+    bound_batches(spark)
     return without_repeats(docs)
 
 
@@ -35,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their sequence and offset."""
-    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    bound_batches(spark)
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED))
 
 
 STAGES = [
