@@ -299,6 +299,35 @@ def test_licenses(spark):
     assert texts[0][row.start : row.end] == "Released under the MIT License"
 
 
+def test_licenses_are_all_found(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+    texts = [
+        "Licensed under the Apache License, Version 2.0. All rights reserved.",
+        mpl,
+        "Released under\r\n   the MIT\n\nLicense. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.",
+        "All rights reserved. " * 300,
+        "Wholly free as in birdsong",
+        "This work is licensed under the GNU General Public License, version 3.",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in licenses.license_notices(docs).orderBy("doc_id", "start").collect():
+        found[r.doc_id].append((r.license, r.differences))
+        assert r.reduction > 0
+    assert found == {
+        0: [("Apache-2.0", 0), ("LicenseRef-reserved", 0)],
+        1: [("MPL-2.0", 0)],
+        2: [("MIT", 0), ("CC-BY-4.0", 0), ("CC-BY-NC-4.0", 0)],
+        3: [("LicenseRef-reserved", 0)] * 300,
+        5: [("GPL-3.0", 0)],
+    }
+    # more near templates than any fixed number, and one without the usual stems
+    near = {f"V{k}": [f"This work is licensed under the Common Sharing Terms of the year, version {k}."] for k in range(9)}
+    given = licenses.license_notices(docs.union(spark.createDataFrame([(7, near["V0"][0]), (8, near["V8"][0])], docs.schema)), templates=near | {"Bird": ["Free as in birdsong."]})
+    assert sorted((r.doc_id, r.license) for r in given.collect()) == [(4, "Bird"), (7, "V0"), (8, "V8")]
+    assert licenses.license_notices(docs, templates={}).collect() == []
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
