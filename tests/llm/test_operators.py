@@ -88,6 +88,26 @@ def test_sharding(spark, docs, rows, points):
     assert sharding.shard_documents(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("points", [4, 8192])
+def test_sharding_uses_all_shards_on_skew(spark, points):
+    third = [(i, "x" * 984) for i in range(200)]  # one group of a third of the bytes
+    others = [(1000 + i, f"{i:04d}" + "y" * 980) for i in range(400)]
+    docs = spark.createDataFrame(third + others, "doc_id long, text string").repartition(3)
+    sizes, digest = defaultdict(int), defaultdict(set)
+    for r in sharding.shard_documents(docs, shards=40, points=points).collect():
+        sizes[r.shard] += r.size
+        digest[r.group_digest].add(r.shard)
+    assert sorted(sizes) == list(range(40)) and all(len(s) == 1 for s in digest.values())
+    large, *rest = sorted(sizes.values(), reverse=True)
+    assert large == 200_000 and sum(rest) == 400_000 and max(rest) <= 11_000
+    # two large groups of different sizes, and as many groups as shards
+    few = spark.createDataFrame([(1, "a" * 50_000), (2, "b" * 20_000), (3, "c"), (4, "d"), (5, "e")], docs.schema)
+    assert sorted(r.shard for r in sharding.shard_documents(few, shards=5, points=points).collect()) == list(range(5))
+    assert len({r.shard for r in sharding.shard_documents(few, shards=8, points=points).collect()}) == 5
+    # equal groups that don't fill the shards evenly
+    assert len({r.shard for r in sharding.shard_documents(docs.where("doc_id between 1000 and 1099"), shards=40, points=points).collect()}) == 40
+
+
 def test_token_files(spark, docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Encoder(path, True)
