@@ -3,8 +3,9 @@
 Documents with one shingle set are a class, and only its smallest id takes part in the search. In each bucket of
 a band the members are compared with the bucket's smallest member (the hub); links that hold join components.
 Where the members of a bucket are then still in several components, those outside its largest component are
-compared, in blocks, with all members of other components. So no link between components is lost, and pairs
-within a group are not listed.
+compared with all members of other components, both sides in blocks: by signatures first, and only members that
+agree with one of another component bring their texts to their block. So no link between components is lost, and
+pairs within a group are not listed.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .tokenise import release
 from .words import mix, shingle_sets, shingles, text_slices, words
 
 BANDS, ROWS, WIDTH = 30, 5, 5
-#: Members of a block that a task compares with another.
-BLOCK = 256
+#: Members of a block that a task compares with another, and shingles of their texts, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Universal hashing a * x + b over 32 bits.
@@ -113,8 +114,29 @@ def _confirmed(percent: int):
     return keep
 
 
+def _agreeing_members(percent: int):
+    """Of two blocks of a bucket, the asking and the listed members that agree in size and signature with one of the
+    other side and another component; no texts are needed."""
+    least = least_agreement(percent)
+
+    def choose(table: pa.Table) -> pa.Table:
+        comps, sizes = table.column("component").to_numpy(), table.column("n_shingles").to_numpy()
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(comps), -1)
+        chosen, listed = np.zeros(len(comps), bool), np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks):
+            near = 100 * np.minimum(sizes[listed], sizes[i]) >= percent * np.maximum(sizes[listed], sizes[i])
+            those = listed[near & (comps[listed] != comps[i])]
+            those = those[(signed[those] == signed[i]).sum(axis=1) >= least]
+            chosen[those] = True
+            chosen[i] = len(those) > 0
+        return table.select(["id", "component", "asks", "bucket", "block", "asking_block"]).filter(pa.array(chosen))
+
+    return choose
+
+
 def _compare_blocks(percent: int):
-    """Links between the asking and the listed members of one bucket's block; the texts are hashed once each."""
+    """Links between the asking and the listed members of two blocks of a bucket; the texts are hashed once each."""
     least = least_agreement(percent)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -194,16 +216,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     placed = in_buckets.where("n > 2").join(component.withColumnRenamed("node", "id"), "id", "left").select("id", "band", "bucket", "hub", own)
     # the hub was compared with all, so a bucket is settled when its other members are in one component
     counted = placed.where("id <> hub").groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    open_buckets = counted.groupBy("bucket").agg(F.max_by("component", "n").alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    waiting = materialise(placed.where("id <> hub").join(open_buckets, "bucket").select("id", "band", "bucket", "component", "n", (F.col("component") != F.col("largest")).alias("asks")), "open-buckets")
+    open_buckets = counted.groupBy("bucket").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    waiting = materialise(placed.where("id <> hub").join(open_buckets, "bucket").select("id", "band", "bucket", "component", (F.col("component") != F.col("largest")).alias("asks")), "open-buckets")
     if waiting.count():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        listed = waiting.select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")).withColumn("asks", F.lit(False))
-        asking = waiting.where("asks").select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        waiting_ids = materialise(waiting.select(F.col("id").alias("doc_id")).distinct(), "open-ids")
-        whole = members.join(needed(waiting_ids).withColumnRenamed("doc_id", "id"), "id")
-        asked = listed.union(asking).select("id", "band", "bucket", "component", "asks", "block").join(whole, "id")
-        more = asked.groupBy("bucket", "block").applyInArrow(_compare_blocks(percent), "u long, v long")
+        own_bucket = F.xxhash64("band", F.expr(f"substring(signature, band * {4 * ROWS} + 1, {4 * ROWS})")) == F.col("bucket")
+        waiting = waiting.distinct().join(members, "id").where(own_bucket)
+        sums = waiting.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = waiting.join(sums, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "signature"), F.col("blocks")).cast("int"))
+        every, slim_columns = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), ["id", "n_shingles", "signature", "component", "asks", "bucket"]
+        listed = dealt.withColumn("asks", F.lit(False)).select(*slim_columns, F.col("own").alias("block"), every.alias("asking_block"))
+        asking = dealt.where("asks").select(*slim_columns, every.alias("block"), F.col("own").alias("asking_block"))
+        groups = ["bucket", "block", "asking_block"]
+        # dealt by all three, else the join by bucket would leave all blocks of a bucket to one task
+        agreeing = listed.union(asking).repartition(*groups).groupBy(*groups).applyInArrow(_agreeing_members(percent), "id long, component long, asks boolean, bucket long, block int, asking_block int")
+        agreeing = materialise(agreeing.distinct(), "agreeing-members")
+        agreeing_ids = materialise(agreeing.select(F.col("id").alias("doc_id")).distinct(), "agreeing-ids")
+        whole = members.join(needed(agreeing_ids).withColumnRenamed("doc_id", "id"), "id")
+        more = agreeing.join(whole, "id").groupBy(*groups).applyInArrow(_compare_blocks(percent), "u long, v long")
         links = materialise(links.union(more), "all-links")
         component = materialise(connected_components(links), "all-components")
 

@@ -165,6 +165,45 @@ def test_near_duplicates(spark, docs, rows):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(odd).collect()) == [(0, 0, True), (0, 3, False), (3, 3, True)]
 
 
+def test_near_duplicates_groups_are_bounded(spark, monkeypatch):
+    """Pages of one template that share bands but no link: what a task holds of a bucket is bounded on both sides."""
+    rnd = random.Random(3)
+    base, pages = [f"w{k}" for k in range(100)], []
+    for i in range(160):
+        at = rnd.randrange(85)
+        pages.append((i, base[:at] + [f"p{i}x{k}" for k in range(15)] + base[at + 15 :]))
+    pages += [(200 + i, w[:-1] + ["end"]) for i, w in pages[100:140]]
+    pages = [(i, " ".join(w)) for i, w in pages]
+
+    def bounded(made):
+        def run(percent):
+            work = made(percent)
+
+            def checked(table):
+                assert table.num_rows <= 48, table.num_rows
+                return work(table)
+
+            return checked
+
+        return run
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    for name in ("_agreeing_members", "_compare_blocks"):
+        if hasattr(neardup, name):
+            monkeypatch.setattr(neardup, name, bounded(getattr(neardup, name)))
+    sets = {i: shingle_set(t) for i, t in pages}
+    component = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(component[a], component[b]), min(component[a], component[b])
+                component = {i: new if c == old else c for i, c in component.items()}
+    assert 100 < len(set(component.values())) < 165
+    out = neardup.near_duplicates(spark.createDataFrame(pages, "doc_id long, text string"), 85).collect()
+    assert {r.doc_id: r.component_id for r in out} == component
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (100, 100)]
     out = dict(connected_components(spark.createDataFrame(chain, "u long, v long")).collect())
