@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows (not documents' texts: slim keys) that a side may have to be broadcast.
 BROADCAST_ROWS = 400_000
+#: Largest number of bytes of texts in such a side.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of an Arrow batch between the JVM and Python, about.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local
+    mode; on a cluster this raises, as executors couldn't read each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "file:///tmp/checkpoints/keystrata").rstrip("/")
 
 
@@ -54,15 +60,6 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def publish(fs: pafs.FileSystem, part: str, final: str) -> None:
-    """Move a finished part file to its final name; a repeated attempt replaces it by the same content."""
-    try:
-        fs.move(part, final)
-    except OSError:
-        fs.delete_file(final)
-        fs.move(part, final)
-
-
 def retried(action: Callable, attempts: int = 3, pause: float = 0.2):
     """Result of action(); on an I/O or data error it is called again, and the last error is raised."""
     for left in range(attempts - 1, -1, -1):
@@ -78,18 +75,42 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if its counted rows are few; beyond that the join shuffles both sides."""
-    return F.broadcast(df) if rows <= most else df
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores before it as make it differ from the names taken, in any case."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+        low.add(name.lower())
+    return out
+
+
+def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS, text_bytes: int | None = 0) -> DataFrame:
+    """df, marked for broadcast only if its counted rows, and counted bytes where it holds texts, are few; beyond that
+    the join shuffles both sides."""
+    return F.broadcast(df) if rows <= most and (text_bytes or 0) <= BROADCAST_BYTES else df
+
+
+def salted_join(many: DataFrame, one: DataFrame, on: str, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """many joined with a side that has one slim row for a key; the rows of a hot key are dealt over `salts` tasks."""
+    (salt,) = fresh([*many.columns, *one.columns], "salt")
+    copies = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [on, salt], how).drop(salt)
+
+
+def dealt(plan: DataFrame, rows: int | None, most: int = 20_000) -> DataFrame:
+    """plan, which has `rows` slim rows, with a task for each of them up to `most`; a given number is not coalesced."""
+    return plan.repartition(max(1, min(rows or 0, most)))
 
 
 def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Let this session hand Python Arrow batches of about `most` bytes (one row at least), where Spark's own bound
     is larger: a batch is held by the JVM outside its heap and by the worker at once, in every running task."""
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(re.sub(r"\D", "", spark.conf.get(setting)) or 0)
+    now = int(re.sub(r"\D", "", spark.conf.get(BATCH_SETTING)) or 0)
     if not 0 < now <= most:
-        spark.conf.set(setting, str(most))
+        spark.conf.set(BATCH_SETTING, str(most))
 
 
 def give_back() -> None:

@@ -6,16 +6,19 @@ import struct
 import tarfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import filesystem, in_batches, materialise, publish, retried
+from .common import filesystem, in_batches, materialise, retried
 
 #: Samples in a row of an image.
 WIDTH = 64
@@ -72,8 +75,8 @@ class ArchiveWriter:
     """A tar file and, beside it, the offsets of its members (little-endian unsigned 64-bit)."""
 
     def __init__(self, fs, path: str):
-        self.fs, self.path, self.draft = fs, path, f"{path}.{uuid.uuid4().hex}"
-        self.out, self.at, self.offsets = fs.open_output_stream(self.draft), 0, []
+        self.fs, self.path = fs, path
+        self.out, self.at, self.offsets = fs.open_output_stream(path), 0, array("Q")
 
     def add(self, name: str, data: bytes) -> None:
         info = tarfile.TarInfo(name)
@@ -86,10 +89,8 @@ class ArchiveWriter:
     def close(self) -> None:
         self.out.write(bytes(2 * BLOCK))
         self.out.close()
-        with self.fs.open_output_stream(f"{self.draft}.idx") as index:
+        with self.fs.open_output_stream(f"{self.path}.idx") as index:
             index.write(np.asarray(self.offsets, "<u8").tobytes())
-        publish(self.fs, f"{self.draft}.idx", f"{self.path}.idx")
-        publish(self.fs, self.draft, self.path)
 
 
 def read_member(source, offset: int) -> tuple[str, bytes]:
@@ -112,20 +113,26 @@ class RangePartition(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    """Plans ranges of bytes from the archives' sizes alone; a range has the members whose headers begin in it."""
+    """Plans ranges of bytes from the archives' sizes alone; a range has the members whose headers begin in it.
+
+    With a manifest (a Parquet folder of write_archives) only its archives are read, else all below the path.
+    """
 
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder, self.manifest = options["path"], options.get("manifest")
         self.range_bytes = int(options.get("rangebytes", 32 << 20))
         self.batch_bytes = int(options.get("batchbytes", 8 << 20))
         self.attempts = int(options.get("attempts", 4))
 
     def partitions(self) -> list[InputPartition]:
-        import pyarrow.fs as pafs
-
-        fs, root = filesystem(self.folder)
-        found = [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.path.endswith(".tar")]
-        return [RangePartition(f.path, low, min(low + self.range_bytes, f.size)) for f in sorted(found, key=lambda f: f.path) for low in range(0, f.size, self.range_bytes)] or [RangePartition("", 0, 0)]
+        if self.manifest:
+            fs, root = filesystem(self.manifest)
+            rows = pads.dataset(root, filesystem=fs, format="parquet").to_table().to_pylist()
+            found = [(r["path"], r["bytes"]) for r in rows]
+        else:
+            fs, root = filesystem(self.folder)
+            found = [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if f.path.endswith(".tar")]
+        return [RangePartition(path, low, min(low + self.range_bytes, size)) for path, size in sorted(found) for low in range(0, size, self.range_bytes)] or [RangePartition("", 0, 0)]
 
     def _rows(self, part: RangePartition) -> Iterator[tuple]:
         fs, _ = filesystem(self.folder)
@@ -161,7 +168,8 @@ class ArchiveReader(DataSourceReader):
 class ArchiveSource(DataSource):
     """Spark data source "media_archives": members of all .tar files below `path`, streamed as Arrow batches.
 
-    Options: rangeBytes (bytes of an archive for one task), batchBytes, attempts (for each member).
+    Options: manifest (path of the table of archives to read), rangeBytes (bytes of an archive for one task),
+    batchBytes, attempts (for each member). A folder that is missing or has no archives gives no rows.
     """
 
     @classmethod
@@ -179,19 +187,20 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     """Store every text as an image member of tar archives below folder; manifest: path, members, bytes.
 
     Payload: the UTF-8 bytes (null: none) with zero bytes up to a positive multiple of 64. Members are named
-    <doc_id>/<unpadded bytes>.png, null ids "null". A task names its archives by its partition and publishes them
-    complete, so a repeated task replaces them by the same content. An empty table writes nothing.
+    <doc_id>/<unpadded bytes>.png, null ids "null". Repeated rows and ids get a member each, texts of any length are
+    stored whole, other columns are not read. Each attempt at a task writes archives under names of its own, and only
+    those of the manifest count. An empty table writes nothing.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        part, made, out = TaskContext.get().partitionId(), [], None
+        part, made, out, attempt = TaskContext.get().partitionId(), [], None, uuid.uuid4().hex
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
                 if out is None:
                     fs.create_dir(root)
-                    out = ArchiveWriter(fs, f"{root}/media-{part:06d}-{len(made):04d}.tar")
+                    out = ArchiveWriter(fs, f"{root}/media-{part:06d}-{len(made):04d}-{attempt}.tar")
                 out.add(f"{'null' if doc_id is None else doc_id}/{len(data)}.png", encode_image(padded(data)))
                 if out.at >= archive_bytes:
                     out.close()
@@ -206,11 +215,12 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     return materialise(rows.mapInArrow(write, "path string, members long, bytes long"), "media-manifest")
 
 
-def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Members of the archives below folder: archive, member_offset, member, media."""
+def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, **options) -> DataFrame:
+    """Members of the archives below folder, or of those in a manifest of write_archives: archive, member_offset,
+    member, media. The driver plans from the manifest, a row an archive."""
     spark.dataSource.register(ArchiveSource)
     reader = spark.read.format("media_archives")
-    for key, value in options.items():
+    for key, value in (options | ({"manifest": manifest._scratch_path} if manifest is not None else {})).items():
         reader = reader.option(key, value)
     return reader.load(folder)
 
@@ -229,7 +239,7 @@ def feature(samples: np.ndarray) -> str:
 
 def media_features(media: DataFrame) -> DataFrame:
     """Features of stored images: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256 and feature, all from the bytes read back. A member that doesn't decode fails the job."""
+    media_sha256 and feature, all from the bytes read back, a row a member. A member that doesn't decode fails the job."""
     import hashlib
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

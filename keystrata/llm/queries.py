@@ -64,8 +64,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "media")
-    write_archives(parquet(spark, sf_dir, "documents"), folder)
-    return media_features(read_archives(spark, folder))
+    manifest = write_archives(parquet(spark, sf_dir, "documents"), folder)
+    return media_features(read_archives(spark, folder, manifest))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, in_batches, materialise, publish, retried
+from .common import dealt, filesystem, in_batches, materialise, retried, salted_join
 
 # Fixed values of the formats.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -28,8 +28,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 WARC_DATE = "2024-01-01T00:00:00Z"
 
 CHUNK = 1 << 16
-#: Longest header block of a record or of its HTTP message.
-MOST_HEADER = 1 << 20
 ARCHIVE_BYTES = 256 << 20
 
 
@@ -75,7 +73,7 @@ def revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) ->
     keys = pages.where(F.octet_length(payload) >= least_bytes).select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("sha1"))
     keys = materialise(keys.distinct(), "warc-keys")
     groups = keys.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return materialise(keys.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))), "warc-revisits")
+    return materialise(salted_join(keys, groups, "sha1", "page_id").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))), "warc-revisits")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -83,29 +81,28 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Of pages with equal payloads of at least least_bytes the one with the largest id is the response, the others
     revisit it. Null html is an empty payload, a null url an empty one, a null id the smallest; repeated rows
-    get a record each, of the same type. An empty table writes nothing. Only ids and digests are shuffled to
-    find copies; the payloads are shuffled once, by page id.
+    get a record each, of the same type; rows with one id and other payloads are pages of their own. Very long urls
+    and payloads are written whole. Other columns are not read. An empty table writes nothing. Only ids and digests
+    are shuffled to find copies; the payloads are shuffled once, by page id. Each attempt at a task writes archives
+    under names of its own, and only those of the manifest count.
     """
     twins = revisits(pages, id_col, html_col, least_bytes).select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        part, made, out, draft, records = TaskContext.get().partitionId(), [], None, "", 0
+        part, made, out, name, records = TaskContext.get().partitionId(), [], None, "", 0
 
         def close() -> None:
-            out.write(b"")
             size = out.tell()
             out.close()
-            name = f"pages-{part:06d}-{len(made):04d}.warc.gz"
-            publish(fs, draft, f"{root}/{name}")
             made.append({"path": f"{folder}/{name}", "records": records, "bytes": size})
 
         for batch in batches:
             for page_id, url, html, refers_to, twin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if out is None:
                     fs.create_dir(root)
-                    draft, records = f"{root}/{uuid.uuid4().hex}.draft", 0
-                    out = fs.open_output_stream(draft)
+                    name, records = f"pages-{part:06d}-{len(made):04d}-{uuid.uuid4().hex}.warc.gz", 0
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(record(page_id, url, (html.as_py() or "").encode(), refers_to, twin))
                 records += 1
                 if out.tell() >= archive_bytes:
@@ -140,14 +137,21 @@ class Member:
         self.held += self.engine.decompress(data, CHUNK)
         return True
 
-    def until(self, mark: bytes, most: int) -> bytes:
-        """Take what comes up to and with mark."""
-        while (at := self.held.find(mark)) < 0:
-            if len(self.held) > most or not self.more():
-                raise ValueError(f"no {mark!r} in the first bytes")
+    def until(self, mark: bytes) -> bytes:
+        """Take what comes up to and with mark, however long."""
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if not self.more():
+                raise ValueError(f"no {mark!r} in the member")
         out, self.held = self.held[: at + len(mark)], self.held[at + len(mark) :]
         return out
 
+    def begins(self, mark: bytes) -> bool:
+        while len(self.held) < len(mark) and self.more():
+            pass
+        return self.held.startswith(mark)
+
     def take(self, n: int) -> Iterator[bytes]:
         """Take n bytes in pieces."""
         while n:
@@ -174,8 +178,8 @@ def begins_record(source, offset: int) -> bool:
     """Whether a gzip member at offset decodes to a WARC header."""
     try:
         member = Member(source, offset)
-        head = member.until(END, MOST_HEADER)
-        return head.startswith(WARC_BEGIN) and "content-length" in headers_of(head)
+        # most false candidates end with their first bytes; the header of a true one may have any length
+        return member.begins(WARC_BEGIN) and "content-length" in headers_of(member.until(END))
     except (zlib.error, ValueError, EOFError):
         return False
 
@@ -201,9 +205,9 @@ def first_record(source, low: int, high: int) -> int:
 def read_record(source, offset: int, with_payload: bool) -> tuple[dict, int]:
     """Fields of the record at offset, and the offset after it. The payload is hashed piece by piece."""
     member = Member(source, offset)
-    head = headers_of(member.until(END, MOST_HEADER))
+    head = headers_of(member.until(END))
     block = int(head["content-length"])
-    http = member.until(END, MOST_HEADER)
+    http = member.until(END)
     left = block - len(http)
     kind = head["warc-type"]
     sha, size, kept = hashlib.sha1(), 0, []
@@ -230,7 +234,10 @@ def read_record(source, offset: int, with_payload: bool) -> tuple[dict, int]:
 
 def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = False) -> DataFrame:
     """Records of the archives in a manifest (path, bytes): page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, and payload if asked for (null for revisits). Archives are split into ranges of split_bytes."""
+    refers_to, and payload if asked for (null for revisits). Archives are split into ranges of split_bytes, each of
+    which is a task; a record belongs to the range in which it begins. Bytes between records that decode to no WARC
+    header are passed over; a record that is damaged or does not match its digest fails the job. An empty manifest
+    gives no rows."""
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload
     schema = pa.schema(fields)
 
@@ -250,5 +257,6 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 16 <<
                 yield from in_batches(rows(path, low, high), schema, size=lambda r: len(r[6] or b"") if with_payload else 0)
 
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("low"))
-    ranges = ranges.select("path", "low", F.least(F.col("low") + split_bytes, F.col("bytes")).alias("high")).repartition("path", "low")
+    ranges = ranges.select("path", "low", F.least(F.col("low") + split_bytes, F.col("bytes")).alias("high"))
+    ranges = dealt(ranges, manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0])
     return ranges.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
