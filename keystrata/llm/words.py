@@ -18,6 +18,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
@@ -38,7 +40,7 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _piece_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_words(data: np.ndarray, breaks: np.ndarray, fold: bool, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of data; a word also ends before each place in breaks."""
     global _powers
     solid = ~SPACE[data]
@@ -46,6 +48,8 @@ def _piece_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     before[1:] = ~solid[:-1]
     before[:1] = True
     before[breaks] = True
+    if marks is not None:
+        before[1:] |= marks[data[1:]] & LETTER[data[:-1]]
     starts = np.flatnonzero(solid & before)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, starts
@@ -56,17 +60,18 @@ def _piece_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = ends - starts
     if lengths.max() > len(_powers):
         _powers = powers(1 << int(lengths.max()).bit_length())
-    codes = LOWER[data[solid]].astype(np.uint64)
+    codes = (LOWER[data[solid]] if fold else data[solid]).astype(np.uint64)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(codes)) - np.repeat(first, lengths)
     hashes = np.add.reduceat((codes + np.uint64(1)) * _powers[place], first)
     return mix(hashes + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
-def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> tuple[np.ndarray, ...]:
+def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False, fold: bool = True, marks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(hashes, first) of the words of consecutive texts: text i has hashes[first[i] : first[i + 1]].
 
-    With spans, also the words' starts and ends as places in data.
+    With spans, also the words' starts and ends as places in data. Without fold, A-Z and a-z differ.
+    A word ends also where a byte of the table `marks` follows A-Z or a-z.
     """
     low, high = int(offsets[0]), int(offsets[-1])
     found: list[tuple[np.ndarray, ...]] = []
@@ -85,7 +90,7 @@ def words(data: np.ndarray, offsets: np.ndarray, spans: bool = False) -> tuple[n
                     nxt = nxt + int(step[0]) if len(step) else min(high, nxt + PIECE_BYTES)
                 end = nxt
         inner = offsets[(offsets > low) & (offsets < end)] - low
-        hashes, starts, ends = _piece_words(data[low:end], inner)
+        hashes, starts, ends = _piece_words(data[low:end], inner, fold, marks)
         found.append((hashes, starts + low, ends + low))
         low = end
     hashes, starts, ends = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
