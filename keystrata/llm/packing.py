@@ -24,6 +24,8 @@ from .tokenise import encoder
 CAPACITY = 2048
 #: Pieces that a worker remembers here, if not told otherwise.
 REMEMBERED = 500_000
+#: Bytes of ids in a batch of pieces, about.
+HELD_BYTES = 8 << 20
 
 
 def largest_pair(lengths: list[int], counts: dict[int, int], room: int) -> int:
@@ -133,24 +135,33 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, keeps_space: bool = False, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of at most `capacity` ids of every text with end_id behind it: doc_id, piece, start, length, ids_crc32
-    and, if asked for, token_ids (binary, little-endian unsigned 32-bit). Null and empty texts: the end id only.
-    A worker remembers the ids of at most `remembered` white-space pieces; further ones are encoded each time."""
+    and, if asked for, token_ids (binary, little-endian unsigned 32-bit). Null and empty texts: the end id only. Null
+    ids are kept as null, repeated rows are cut as often as they stand, an empty table gives no rows, and other
+    columns of docs are not read. A worker remembers the ids of at most `remembered` white-space pieces; further ones are encoded each time."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["token_ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     step, end = 4 * capacity, struct.pack("<I", end_id)
 
+    def made(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
     @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, keeps_space, remembered)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode.ids(text.as_py() or "") + end
+            held = 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.all_ids(batch.column(1)), strict=True):
+                ids += end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
                     for column, value in zip(columns, (doc_id, at // step, at // 4, len(piece) // 4, zlib.crc32(piece), piece), strict=False):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                held += len(ids) * with_ids
+                if held >= HELD_BYTES:
+                    yield made(columns)
+                    columns, held = [[] for _ in names], 0
+            yield made(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", token_ids binary" * with_ids)
@@ -160,13 +171,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     """pieces with columns sequence_id and offset (tokens before it in its sequence, gapless from 0).
 
     pieces needs a column `length` from 1 to capacity and the columns of `order`, which break ties; further columns
-    are kept. Repeated rows are packed as often as they stand. An empty table gives no rows. Pieces are sorted by
-    length over range partitions; the driver gets a count per partition and the histogram of lengths.
+    are kept, whatever their names, but sequence_id and offset are replaced where pieces has them. Other lengths and
+    null ones raise. Repeated rows are packed as often as they stand, null ids like any. An empty table gives no
+    rows. Pieces are sorted by length over range partitions; the driver gets a count per partition and the histogram
+    of lengths.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     by = ["length", *order]
     # written first: sampling for the ranges would make the pieces, and so the tokens, a second time
     written = materialise(pieces, "pieces")
-    rows, before = numbered(written, by, "pack-pieces")
+    rows, part_name, place_name, before = numbered(written, by, "pack-pieces")
     discard(pieces.sparkSession, written)
     histogram = dict(rows.groupBy("length").agg(F.count("*")).collect())
     if any(k is None or not 1 <= k <= capacity for k in histogram):
@@ -194,7 +208,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rank = rows_before[batch.column("part").to_numpy()] + batch.column("place").to_numpy()
+                rank = rows_before[batch.column(part_name).to_numpy()] + batch.column(place_name).to_numpy()
                 at = np.searchsorted(start, rank, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-2], pa.array(bins[at] + rank - start[at]), pa.array(offsets[at])],
