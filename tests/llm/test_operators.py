@@ -224,7 +224,13 @@ def test_repeated_passages(spark, docs, rows):
                 expected.append([i, k, k + 50, seen[gram]])
                 at = k
     out = substrings.repeated_passages(docs.union(docs.limit(4))).collect()
-    assert sorted((r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in out) == sorted(map(tuple, expected))
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in out) == sorted(tuple(e[:3]) for e in expected)
+    text = dict(rows)
+    for r in out:  # an earlier document holds the span's first words
+        passage = lowered(text[r.doc_id])[r.start_word : r.start_word + 50]
+        w = lowered(text[r.earlier_doc_id])
+        assert r.earlier_doc_id <= r.doc_id
+        assert any(w[k : k + 50] == passage for k in range(len(w) - 49) if (r.earlier_doc_id, k) < (r.doc_id, r.start_word))
     cut = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
     spans = {e[0] for e in expected}
     assert all(cut[i] == t for i, t in rows if i not in spans)
