@@ -69,7 +69,8 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, id_col: s
     few = candidates.select("doc_id").distinct()
     suspects = docs.join(bounded_broadcast(few, few.count()), "doc_id", "left_semi")
     own = shingle_rows(suspects, "doc_id", "text").select("doc_id", _string().alias("shingle"))
-    shared = own.join(bounded_broadcast(sets.select("item_id", "shingle"), sets.count()), "shingle")
+    rows, text_bytes = sets.agg(F.count("*"), F.sum(F.octet_length("shingle"))).first()
+    shared = own.join(bounded_broadcast(sets.select("item_id", "shingle"), rows, text_bytes=text_bytes), "shingle")
     counted = shared.distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).join(candidates, ["item_id", "doc_id"], "left_semi")
     found = counted.join(sizes, "item_id").where(f"100 * shared >= {percent} * item_shingles")
     out = materialise(found.select("item_id", "doc_id", "item_shingles", "shared"), "contained")

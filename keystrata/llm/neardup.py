@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, materialise, thrifty
+from .common import bounded_broadcast, discard, materialise, salted_join, thrifty
 from .components import connected_components
 from .tokenise import release
 from .words import mix, shingle_sets, shingles, text_slices, words
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialise(texts.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     slim = described.select("doc_id", "n_shingles", "digest")
     chosen = classes.where("class_id is not null").select("digest", F.col("class_id").alias("doc_id"))
     members = materialise(described.join(chosen, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "signature").distinct(), "representatives")
@@ -198,8 +198,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     in_buckets = materialise(bands.join(buckets, "bucket"), "bucket-members")
     pairs = in_buckets.where("id <> hub").select("id", "hub").distinct()
 
-    hub_side = members.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("signature").alias("hub_signature"))
-    sized = pairs.join(members, "id").join(hub_side, "hub").where(f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
+    hubs = buckets.select(F.col("hub").alias("id")).distinct()
+    hub_side = members.join(hubs, "id", "left_semi").select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("signature").alias("hub_signature"))
+    sized = salted_join(pairs.join(members, "id"), hub_side, "hub", "id", salts=8).where(f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
     candidates = materialise(sized.select("id", "hub", "signature", "hub_signature").mapInArrow(_agreeing(percent), "id long, hub long"), "candidates")
 
     def needed(ids: DataFrame) -> DataFrame:
@@ -236,8 +237,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         links = materialise(links.union(more), "all-links")
         component = materialise(connected_components(links), "all-components")
 
-    reached = classes.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("reached"))
-    found = slim.where("digest is not null").join(reached, "digest", "left").select("doc_id", "n_shingles", F.col("reached").alias("component_id"))
+    # a document without copies and links is its own component, so only the other classes are looked up
+    reached = classes.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").where("copies > 1 or component is not null")
+    reached = reached.select("digest", F.coalesce("component", "class_id").alias("reached"))
+    found = salted_join(slim.where("digest is not null"), reached, "digest", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"))
     alone = slim.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     by_class = found.union(alone)
     discard(spark, buckets, candidates)
