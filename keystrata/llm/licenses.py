@@ -24,13 +24,24 @@ from .common import in_batches
 # Identifiers and usual short notices of public licenses.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "BSD-2-Clause": ["Licensed under the 2-Clause BSD License."],
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Licensed under the 3-Clause BSD License."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
@@ -173,7 +184,8 @@ def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, start, end (characters), license, reduction (bytes), differences (words) and exact, for each notice.
 
     At most a fifth of a template's words may differ; line breaks and other white space don't count. Notices of a
-    text don't overlap. Null and empty texts have no notice; rows with null ids and repeated rows are scanned like
+    text don't overlap; of places that agree equally the larger reduction counts, then the earlier template. Other
+    columns are not read. Null and empty texts have no notice; rows with null ids and repeated rows are scanned like
     any; an empty table or no templates give no rows. Texts of any length are scanned whole, block by block. No
     shuffle: texts without a hint, a word of the templates of which each notice must hold one, are dropped by a
     filter first.

@@ -8,6 +8,7 @@ as those it will get. The models are sparse, so a text's length hardly moves its
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,7 +74,7 @@ class Chain:
             self._table = [dict(zip(x.buckets.tolist(), x.weights.tolist(), strict=True)) for x in self.links]
         out = np.zeros(len(self.links))
         for k, (link, table) in enumerate(zip(self.links, self._table, strict=True)):
-            z = link.bias + sum(table.get(b, 0.0) for b in buckets) + float(link.before @ out[:k])
+            z = link.bias + math.fsum(table.get(b, 0.0) for b in buckets) + float(link.before @ out[:k])
             out[k] = 1 / (1 + np.exp(-max(-40.0, min(40.0, z))))
         return out
 
@@ -166,19 +167,23 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
         sets = [text_features(x.as_py() or "") for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(sets, pa.list_(pa.int32()))], names=["toxic", "lang", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("lang"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "toxic", "lang", "features"])
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, penalty: float = 3e-4) -> Chain:
     """Fit on at most sample_rows labelled documents; their feature sets, not their texts, reach the driver.
 
-    Labels that are null, and labels without a document, are left out. Without labels nothing is called toxic.
+    Labels that are null, and labels without a document, are left out; of labels that repeat an id the largest
+    counts, of documents that repeat one the last in the order of texts. The sample is in the order of its ids, so
+    the chain does not depend on partitions. Categories are the LANGUAGES most frequent languages of the sample,
+    ties by name, and toxic; other languages are judged by the last alone. Without labels nothing is called toxic.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(sample), "doc_id")  # sample_rows at most
-    table = rows.select("toxic", "lang", "text").mapInArrow(_featurise, "toxic int, lang string, features array<int>").toArrow()
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("text", lang.alias("lang")).alias("text")).join(F.broadcast(sample), "doc_id")  # sample_rows at most
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", "toxic", "text.lang", "text.text")
+    table = rows.mapInArrow(_featurise, "doc_id long, toxic int, lang string, features array<int>").toArrow().sort_by("doc_id")
     features = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int32) if x.is_valid else np.zeros(0, np.int32) for x in table.column("features").combine_chunks()] if table.num_rows else []
     if not features:
         return Chain(["toxic"], [Link(np.zeros(0, np.int32), np.zeros(0), -8.0, np.zeros(0))], 0.5)
@@ -186,29 +191,30 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
 
 
 class _Scorer:
-    """Probabilities of texts; the features that a model uses are looked up once for each distinct word."""
+    """Probabilities of texts; the features that a model uses are looked up once for each word that is remembered."""
 
     def __init__(self, chain: Chain, remembered: int = REMEMBERED):
         self.chain, self.used, self.seen, self.hits, self.remembered = chain, chain.used(), set(), {}, remembered
         self.none = chain.probabilities(set())
 
     def __call__(self, text: str) -> np.ndarray:
-        found = set(text.lower().split())
-        hits = self.hits
+        found, buckets = set(text.lower().split()), set()
         for word in found - self.seen:
-            features = tuple(f for f in word_features(word) if f in self.used)
-            if features:
-                self.hits[word] = features
+            features = [f for f in word_features(word) if f in self.used]
+            buckets.update(features)
             if len(self.seen) < self.remembered:
                 self.seen.add(word)
-        buckets = {f for w in hits.keys() & found for f in hits[w]}
+                if features:
+                    self.hits[word] = features
+        for word in self.hits.keys() & found:
+            buckets.update(self.hits[word])
         return self.chain.probabilities(buckets) if buckets else self.none
 
 
 def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id, a probability p_<category> for each link, and toxic (the last one reaches the threshold).
+    """doc_id, a probability p_<category> for each link, and toxic (the last one reaches the threshold, ties included).
 
-    One row for each row of docs. Null and empty texts have the models' base rate, and are not toxic where that
+    One row for each row of docs, whole texts of any length; other columns are not read. Null and empty texts have the models' base rate, and are not toxic where that
     is below the threshold; null ids and repeated rows are scored like any. No shuffle.
     """
     names = [f"p_{c}" for c in chain.categories]
@@ -226,7 +232,8 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, chain: Chain, remembered: int = REMEMBERED) -> DataFrame:
-    """Rows of docs, all columns, that the chain does not call toxic; a worker remembers `remembered` words at most."""
+    """Rows of docs, all columns whatever their names, that the chain does not call toxic (null and empty texts as in
+    toxicity(), repeated rows alike); a worker remembers `remembered` words at most."""
 
     @thrifty
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
