@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm.common import bound_batches, materialise, parquet
+from keystrata.llm.common import BATCH_SETTING, bound_batches, materialise, parquet
 from keystrata.llm.decontam import decontaminate
 from keystrata.llm.neardup import without_near_duplicates
 from keystrata.llm.packing import pack, token_pieces
@@ -40,9 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their sequence and offset."""
+    """Token pieces of the documents, their ids included, with their sequence and offset."""
     bound_batches(spark)
-    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED))
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, remembered=REMEMBERED))
 
 
 STAGES = [
@@ -58,8 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = parquet(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    """All stages over documents; each result is written to the shared folder and read again. The session's bound of
+    Arrow batches, which the stages lower, is set back at the end."""
+    docs, before = parquet(spark, sf_dir, "documents"), spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs
