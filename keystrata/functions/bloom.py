@@ -39,6 +39,28 @@ def murmur3(data: bytes, seed: int) -> int:
     return h ^ h >> 16
 
 
+def murmur3_all(keys: list[bytes], seeds: range) -> np.ndarray:
+    """murmur3 of each key (row) for each seed (column), computed for keys of one length at once."""
+    out = np.zeros((len(keys), len(seeds)), np.uint32)
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    c1, c2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+    rotl = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        padded = b"".join(keys[i] + bytes(-n % 4) for i in rows.tolist())
+        blocks = np.frombuffer(padded, "<u4").reshape(len(rows), -(-n // 4)).astype(np.uint32)
+        h = np.tile(np.asarray(seeds, np.uint32), (len(rows), 1))
+        for k in range(blocks.shape[1]):
+            h ^= (rotl(blocks[:, k] * c1, 15) * c2)[:, None]
+            if 4 * k + 4 <= n:
+                h = rotl(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(n)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        out[rows] = h ^ h >> np.uint32(16)
+    return out
+
+
 class Bits:
     """A bit array with a byte form: bit i is bit i % 8 of byte i // 8."""
 
@@ -83,6 +105,17 @@ class Bloom:
     def places(self, key: bytes) -> list[int]:
         return [murmur3(key, seed) % self.bits.n for seed in range(self.hashes)]
 
+    def all_places(self, keys: list[bytes]) -> np.ndarray:
+        return murmur3_all(keys, range(self.hashes)).astype(np.int64) % self.bits.n
+
+    def insert_all(self, keys: list[bytes]) -> None:
+        at = self.all_places(keys).reshape(-1)
+        np.bitwise_or.at(self.bits.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def contains_all(self, keys: list[bytes]) -> np.ndarray:
+        at = self.all_places(keys)
+        return (self.bits.data[at >> 3] >> (at & 7) & 1).all(axis=1)
+
     def insert(self, key: bytes) -> None:
         for i in self.places(key):
             self.bits.set(i)
@@ -98,18 +131,40 @@ class Bloom:
         return cls(n, false_positive, data)
 
 
+def _stretches(batch: pa.RecordBatch, run: str) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """The rows of each run of a batch that is sorted by run."""
+    names, low = batch.column(run).to_pylist(), 0
+    for high in range(1, len(names) + 1):
+        if high == len(names) or names[high] != names[low]:
+            yield names[low], batch.slice(low, high - low)
+            low = high
+
+
+def _binary(column: pa.Array) -> list[bytes]:
+    return [x.encode() if isinstance(x, str) else x for x in column.to_pylist()]
+
+
 def build_filters(entries: DataFrame, run: str = "run", key: str = "k", false_positive: float = 0.01) -> DataFrame:
-    """(run, n, filter): each task sets the bits of its keys, and the bits of a run are joined by `or`."""
+    """(run, n, filter): each task sets the bits of its keys, and the bits of a run are joined by `or`. A task holds
+    the filter of one run, as its rows are sorted by run."""
     sizes = entries.groupBy(run).agg(F.count("*").alias("n"))
-    sized = entries.select(run, F.col(key).cast("binary").alias("k")).join(sizes, run)
+    sized = entries.select(run, F.col(key).cast("binary").alias("k")).join(sizes, run).sortWithinPartitions(run)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict = {}
+        own, made = None, None
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([made.n], pa.int64()), pa.array([made.encode()])], names=[run, "n", "part"])
+
         for batch in batches:
-            for name, k, n in zip(*(batch.column(c).to_pylist() for c in (run, "k", "n")), strict=True):
-                made.setdefault(name, Bloom(n, false_positive)).insert(k)
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(list(made)), pa.array([b.n for b in made.values()], pa.int64()), pa.array([b.encode() for b in made.values()])], names=[run, "n", "part"])
+            for name, rows in _stretches(batch, run):
+                if made is None or name != own:
+                    if made is not None:
+                        yield part()
+                    own, made = name, Bloom(rows.column("n")[0].as_py(), false_positive)
+                made.insert_all(_binary(rows.column("k")))
+        if made is not None:
+            yield part()
 
     def joined(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(p, np.uint8) for p in table.column("part").to_pylist()]
@@ -124,14 +179,14 @@ def probe(filters: DataFrame, keys: DataFrame, run: str = "run", key: str = "k",
     """(run, key, maybe) for the rows (run, key) of keys."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        own, held = None, None
         for batch in batches:
             found = []
-            for name, k, n, data in zip(*(batch.column(c).to_pylist() for c in (run, key, "n", "filter")), strict=True):
-                if name not in known:
-                    known = {name: Bloom.decode(n, false_positive, data)}
-                found.append(known[name].contains(k.encode() if isinstance(k, str) else k))
-            yield pa.RecordBatch.from_arrays([batch.column(run), batch.column(key), pa.array(found, pa.bool_())], names=[run, key, "maybe"])
+            for name, rows in _stretches(batch, run):
+                if held is None or name != own:
+                    own, held = name, Bloom.decode(rows.column("n")[0].as_py(), false_positive, rows.column("filter")[0].as_py())
+                found.append(held.contains_all(_binary(rows.column(key))))
+            yield pa.RecordBatch.from_arrays([batch.column(run), batch.column(key), pa.array(np.concatenate(found) if found else [], pa.bool_())], names=[run, key, "maybe"])
 
     kinds = dict(keys.dtypes)
     return keys.join(filters, run).sortWithinPartitions(run).mapInArrow(ask, f"{run} {kinds[run]}, {key} {kinds[key]}, maybe boolean")

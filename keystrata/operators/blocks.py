@@ -52,9 +52,11 @@ def locate(index: DataFrame, keys: DataFrame, run: str = "run", key: str = "k")
 
 
 def block_checksums(entries: DataFrame, layout: DataFrame, run: str = "run", key: str = "k", value: str = "v") -> DataFrame:
-    """CRC-32 of each block's entries in key order; a block is bounded by its size."""
+    """CRC-32 of each block's entries in key order, each as the length of its key, ":", the key, and the same for its
+    value, so that other entries have other bytes; a block is bounded by its size."""
     rows = layout.join(entries, [run, key]).groupBy(run, "block").agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("e"))
-    data = F.concat_ws("", F.transform("e", lambda x: F.concat(x[key].cast("string"), x[value].cast("string"))))
+    framed = lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x.cast("string"))
+    data = F.concat_ws("", F.transform("e", lambda x: F.concat(framed(x[key]), framed(x[value]))))
     return rows.select(run, "block", F.crc32(data).alias("crc"))
 
 

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def lru_hits(trace: DataFrame, capacity: int, item: str = "item", at: str = "seq", group: str = "grp") -> DataFrame:
     """at, item, hit: whether an access finds its item in a cache of `capacity` items, one cache for each group.
 
-    It does when fewer than `capacity` other items were used since the item's last use. In a window of w accesses
-    since then at most w are distinct, so accesses with short windows hit without counting; the others are
-    joined with the last uses before them.
+    What a cache holds depends on all accesses of its group before, so a group is one sorted stream; groups are
+    dealt over tasks, and a task holds the items of one cache, not the accesses.
     """
-    order = Window.partitionBy(group).orderBy(at)
-    own = Window.partitionBy(group, item).orderBy(at)
-    numbered = trace.select(group, at, item).withColumn("n", F.row_number().over(order))
-    numbered = numbered.withColumn("last", F.lag("n").over(own)).withColumn("next", F.lead("n").over(own))
-    far = numbered.where(F.col("n") - F.col("last") > capacity)
-    near = numbered.where(F.col("last").isNull() | (F.col("n") - F.col("last") <= capacity)).select(group, at, item, F.col("last").isNotNull().alias("hit"))
-    # distinct items between: accesses in (last, n) that are the latest use of their item before n
-    uses = numbered.select(F.col(group).alias("g"), F.col("n").alias("u"), F.col("next").alias("u_next"))
-    between = (F.col(group) == F.col("g")) & (F.col("u") > F.col("last")) & (F.col("u") < F.col("n")) & (F.coalesce("u_next", F.lit(1 << 62)) >= F.col("n"))
-    counted = far.join(uses, between).groupBy(group, at, item).agg(F.count("*").alias("others"))
-    return near.union(counted.select(group, at, item, F.col("others") < capacity))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, OrderedDict()
+        for batch in batches:
+            hits = []
+            for g, i in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != own:
+                    own, held = g, OrderedDict()
+                hits.append(i in held)
+                held[i] = None
+                held.move_to_end(i)
+                if len(held) > capacity:
+                    held.popitem(last=False)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(hits, pa.bool_())], names=[at, item, "hit"])
+
+    kinds = dict(trace.dtypes)
+    ordered = trace.select(group, at, item).repartition(group).sortWithinPartitions(group, at)
+    return ordered.mapInArrow(follow, f"{at} {kinds[at]}, {item} {kinds[item]}, hit boolean")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.bloom import bits_column, build_filters, probe
-from .model import Bound, Leveled, Options, Simple, Tiered
+from .model import Bound, Leveled, Options, Run, Simple, Tiered
 from .operators import blocks, cache, memtable, resolve
 from .plans import compaction
 from .sources import oplog, runs
+from .sources.manifest import Manifest
 from .store import Store
 from .streaming.ingest import ingest
 
@@ -182,6 +182,11 @@ def _index(spark, sf_dir):
     return runs.run_index(event_runs(spark, sf_dir))
 
 
+def _runs(index: DataFrame) -> list[Run]:
+    """The rows of an index, one for each run, as the planners and the pruning take them."""
+    return [Run(r.run, r["level"] if "level" in index.columns else 0, "", r.first_key.encode().hex(), r.last_key.encode().hex(), r.n_rows, r.n_bytes, 0) for r in index.collect()]
+
+
 @query(f"{INDEX_SQL} SELECT * FROM ix")
 def q21_run_index(spark, sf_dir):
     return _index(spark, sf_dir)
@@ -189,12 +194,16 @@ def q21_run_index(spark, sf_dir):
 
 @query(f"{INDEX_SQL} SELECT run FROM ix WHERE first_key < 'key00002' AND last_key > 'key00000'")
 def q22_range_prune(spark, sf_dir):
-    return _index(spark, sf_dir).where((F.col("first_key") < "key00002") & (F.col("last_key") > "key00000")).select("run")
+    lower, upper = Bound.excluded(b"key00000"), Bound.excluded(b"key00002")
+    chosen = [r.run_id for r in _runs(_index(spark, sf_dir)) if lower.admits_run(r.first, r.last, True) and upper.admits_run(r.first, r.last, False)]
+    return spark.createDataFrame([(i,) for i in chosen], "run long")
 
 
 @query(f"{INDEX_SQL} SELECT run FROM ix WHERE 'key00001' BETWEEN first_key AND last_key")
 def q23_point_prune(spark, sf_dir):
-    return _index(spark, sf_dir).where(F.lit("key00001").between(F.col("first_key"), F.col("last_key"))).select("run")
+    at = Bound.included(b"key00001")
+    chosen = [r.run_id for r in _runs(_index(spark, sf_dir)) if at.admits_run(r.first, r.last, True) and at.admits_run(r.first, r.last, False)]
+    return spark.createDataFrame([(i,) for i in chosen], "run long")
 
 
 LAYOUT_SQL = f"""{RUNS_SQL}, s AS (SELECT run, k, v, row_number() OVER (PARTITION BY run ORDER BY k) AS n, strlen(k) AS kl, strlen(v) AS vl FROM runs),
@@ -223,10 +232,14 @@ def q26_prefix_overlap(spark, sf_dir):
     return _layout(spark, sf_dir).select("run", "k", "overlap")
 
 
-@query(f"{RUNS_SQL} SELECT run, k, true AS maybe FROM runs")
+@query(f"{RUNS_SQL} SELECT run, count(*) AS n, count(*) AS present, true AS few_false FROM runs GROUP BY run")
 def q27_bloom_probe(spark, sf_dir):
+    """Keys of each run that its filter admits (all), and whether it admits few of as many absent keys (1 % is aimed at)."""
     entries = event_runs(spark, sf_dir)
-    return probe(build_filters(entries), entries.select("run", "k"))
+    keys = entries.select("run", "k").unionByName(entries.select("run", F.concat("k", F.lit("/absent")).alias("k")))
+    absent = F.col("k").endswith("/absent")
+    found = probe(build_filters(entries), keys).groupBy("run").agg(F.count_if(~absent).alias("n"), F.count_if(~absent & F.col("maybe")).alias("present"), F.count_if(absent & F.col("maybe")).alias("false"))
+    return found.select("run", "n", "present", (F.col("false") <= 2 + 0.03 * F.col("n")).alias("few_false"))
 
 
 @query(f"{INDEX_SQL} SELECT run, CAST(floor(-n_rows * {math.log(0.02)!r} / {math.log(2) ** 2!r}) AS BIGINT) AS bits, CAST(floor(floor(-n_rows * {math.log(0.02)!r} / {math.log(2) ** 2!r}) * {math.log(2)!r} / n_rows) AS BIGINT) AS hashes FROM ix")
@@ -235,7 +248,15 @@ def q28_bloom_sizing(spark, sf_dir):
     return _index(spark, sf_dir).select("run", bits.alias("bits"), F.floor(bits * F.lit(math.log(2)) / F.col("n_rows")).cast("long").alias("hashes"))
 
 
-@query()
+CRC_SQL = f"""{LAYOUT_SQL}, bits AS (SELECT i, 0 AS step, i AS c FROM range(256) t(i) UNION ALL
+SELECT i, step + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+data AS (SELECT b.run, b.block, string_agg(concat(strlen(b.k), ':', b.k, strlen(r.v), ':', r.v), '' ORDER BY b.k) AS d FROM b JOIN runs r ON r.run = b.run AND r.k = b.k GROUP BY b.run, b.block),
+bytes AS (SELECT run, block, list_transform(range(CAST(strlen(d) AS BIGINT)), lambda i: CAST(ascii(d[i + 1]) AS BIGINT)) AS e FROM data)
+SELECT run, block, xor(list_reduce(list_prepend(4294967295, e), lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1])), 4294967295) AS crc FROM bytes, crc"""
+
+
+@query(CRC_SQL)
 def q29_crc(spark, sf_dir):
     entries = event_runs(spark, sf_dir)
     return blocks.block_checksums(entries, blocks.block_layout(entries, BLOCK))
@@ -266,9 +287,16 @@ def q32_wal_ring_retention(spark, sf_dir):
     return oplog.retained(_log(spark, sf_dir), 50000).agg(F.min("start").alias("start_offset"), F.max("end").alias("end_offset"), F.count("*").alias("n"))
 
 
+@query(f'{LOG_SQL} SELECT count(*) AS n, min("end" - size)::BIGINT AS start_offset, max("end") AS end_offset FROM l WHERE "end" > 20000')
+def q45_wal_truncate(spark, sf_dir):
+    return oplog.truncated(_log(spark, sf_dir), 20000).agg(F.count("*").alias("n"), F.min("start").alias("start_offset"), F.max("end").alias("end_offset"))
+
+
 def _root(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints/keystrata"
-    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or 'file:///tmp/checkpoints/keystrata').rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 def filled_store(spark: SparkSession, sf_dir: str, options: Options) -> Store:
@@ -318,7 +346,10 @@ def _levels(spark, sf_dir):
 
 @query(f"{LEVELS_SQL} SELECT level, count(*) AS files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, min(first_key) AS first_key, max(last_key) AS last_key FROM lv GROUP BY level")
 def q37_level_stats(spark, sf_dir):
-    return _levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    held = _runs(_levels(spark, sf_dir))
+    ends = {n: (min(r.first for r in held if r.level == n).decode(), max(r.last for r in held if r.level == n).decode()) for n in {r.level for r in held}}
+    rows = [(n, files, size, *ends[n]) for n, (files, size) in Manifest(runs=held).level_stats().items()]
+    return spark.createDataFrame(rows, "level long, files long, n_bytes long, first_key string, last_key string")
 
 
 @query(", s AS (SELECT k, arg_max(v, seq) AS v FROM ops GROUP BY k) SELECT count(*) AS with_tombstones, count(*) FILTER (WHERE v <> '') AS at_bottom FROM s")
@@ -328,9 +359,9 @@ def q38_tombstone_gc(spark, sf_dir):
 
 @query(f"{LEVELS_SQL}, u AS (SELECT min(first_key) AS f, max(last_key) AS l FROM lv WHERE level = 0 AND run = 0) SELECT run FROM lv, u WHERE level = 1 AND first_key <= l AND last_key >= f")
 def q39_overlap_runs(spark, sf_dir):
-    lv = _levels(spark, sf_dir)
-    upper = lv.where("level = 0 and run = 0").agg(F.min("first_key").alias("f"), F.max("last_key").alias("l"))
-    return lv.where("level = 1").join(F.broadcast(upper), (F.col("first_key") <= F.col("l")) & (F.col("last_key") >= F.col("f"))).select("run")  # one row
+    held = _runs(_levels(spark, sf_dir))
+    chosen = compaction.overlapping([r for r in held if r.run_id == 0], [r for r in held if r.level == 1])
+    return spark.createDataFrame([(r.run_id,) for r in chosen], "run long")
 
 
 @query(f"{LEVELS_SQL}, st AS (SELECT level + 1 AS level, CAST(sum(n_bytes) AS BIGINT) AS real FROM lv GROUP BY level) SELECT level, real / (1000.0 * level)::DOUBLE AS priority FROM st WHERE real / (1000.0 * level)::DOUBLE > 1.0 ORDER BY priority DESC, level DESC LIMIT 1")
@@ -371,3 +402,82 @@ def q43_lineitem_kv(spark, sf_dir):
 @query(f"{RUNS_SQL} SELECT k, run, row_number() OVER (PARTITION BY k ORDER BY run DESC) AS version FROM runs")
 def q44_key_versions(spark, sf_dir):
     return resolve.kth_versions(event_runs(spark, sf_dir), "k", "run").select("k", "run", F.col("version").cast("long").alias("version"))
+
+
+def outcome(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
+    """level, tier, n_rows, tombstones and overlaps (runs of a level below 0 that meet another) of the runs that a policy leaves."""
+    store = filled_store(spark, sf_dir, options)
+    if options.compaction is None:
+        store.force_full_compaction()
+    held = [runs.read_runs(spark, [r]).select(F.lit(r.level).cast("long").alias("level"), F.lit(r.tier).cast("long").alias("tier"), "value") for r in store.state.runs]
+    rows = held[0] if held else spark.createDataFrame([], "level long, tier long, value binary")
+    for more in held[1:]:
+        rows = rows.unionByName(more)
+    index = spark.createDataFrame([(r.level, r.first_key, r.last_key) for r in store.state.runs if r.level], "level long, first_key string, last_key string")
+    overlaps = resolve.disjoint(index).count()
+    return rows.groupBy("level", "tier").agg(F.count("*").alias("n_rows"), F.count_if(resolve.is_tombstone(F.col("value"))).alias("tombstones")).withColumn("overlaps", F.lit(overlaps).cast("long"))
+
+
+#: seg: the batch of each operation in filled_store().
+SEG_SQL = f", m AS (SELECT max(seq) + 1 AS n FROM ops), sg AS (SELECT o.*, (SELECT CAST(max(i) AS BIGINT) FROM range({SEGMENTS}) t(i) WHERE o.seq >= m.n * i // {SEGMENTS}) AS seg FROM ops o, m)"
+
+
+def _outcome_sql(parts: list[tuple[int, int, int, int, bool]]) -> str:
+    """Rows of (level, tier, first segment, last segment, whether tombstones are gone)."""
+    state = "SELECT k, arg_max(v, seq) AS v FROM sg WHERE seg BETWEEN {} AND {} GROUP BY k"
+    one = "SELECT CAST({} AS BIGINT) AS level, CAST({} AS BIGINT) AS tier, count(*){} AS n_rows, {} AS tombstones, CAST(0 AS BIGINT) AS overlaps FROM ({})"
+    live = " FILTER (WHERE v <> '')"
+    return SEG_SQL + " " + " UNION ALL ".join(one.format(lv, tier, live if gone else "", "CAST(0 AS BIGINT)" if gone else "count(*) FILTER (WHERE v = '')", state.format(a, b)) for lv, tier, a, b, gone in parts)
+
+
+@query(_outcome_sql([(1, 0, 0, 7, True)]))
+def q46_full_outcome(spark, sf_dir):
+    return outcome(spark, sf_dir, Options())
+
+
+@query(_outcome_sql([(3, 0, 0, 1, True), (2, 0, 2, 3, False), (1, 0, 4, 7, False)]))
+def q47_simple_outcome(spark, sf_dir):
+    """Pairs of flushed runs go to level 1, from there to level 3 first, to level 2 next, and the last two stay in level 1."""
+    return outcome(spark, sf_dir, Options(compaction=Simple(level0_trigger=2)))
+
+
+@query(_outcome_sql([(0, 6, 0, 6, True), (0, 7, 7, 7, False)]))
+def q48_tiered_outcome(spark, sf_dir):
+    """Three tiers are merged to the newest of them whenever there are three; the last flush is alone."""
+    return outcome(spark, sf_dir, Options(compaction=Tiered(num_tiers=3)))
+
+
+@query(_outcome_sql([(4, 0, 0, 7, True)]))
+def q49_leveled_outcome(spark, sf_dir):
+    """All below the base size, so every second flush goes to the last level."""
+    return outcome(spark, sf_dir, Options(target_run_bytes=1 << 16, compaction=Leveled(level0_trigger=2)))
+
+
+@query(", x AS (SELECT k, v FROM (VALUES ('key00001', 'one'), ('key00003', 'three'), ('key00004', 'later'), ('key99999', 'new')) t(k, v)), s AS (SELECT k, arg_max(v, seq) AS v FROM ops GROUP BY k HAVING arg_max(v, seq) <> '') SELECT k, v FROM x UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM x) AND k NOT IN ('key00002')")
+def q50_store_session(spark, sf_dir):
+    """put, delete and write_batch over the event log, sync, reopening and multi_get of all keys."""
+    root = _root(spark)
+    store = Store.open(spark, root)
+    ops = event_ops(spark, sf_dir).select("seq", F.col("k").alias("key"), F.col("v").alias("value"))
+    store.write_batch(ops, 7, "events")
+    store.write_batch(ops, 7, "events")  # repeated: skipped
+    store.put("key00001", "one")
+    store.delete("key00002")
+    store.put("key00003", "three")
+    store.sync()
+    store = Store.open(spark, root)
+    store.write_batch([("put", "key00004", "first"), ("put", "key99999", "new"), ("delete", "key00004"), ("put", "key00004", "later")])
+    store = Store.open(spark, root)
+    return _text(store.multi_get(store.scan().select("key")))
+
+
+@query(f", s AS ({LATEST_SQL}) SELECT k, v, true AS flushed FROM s")
+def q51_auto_flush(spark, sf_dir):
+    """Batches beyond the buffer limit are flushed without being asked: runs are there, and few segments wait."""
+    store = Store.open(spark, _root(spark), Options(target_run_bytes=1024, memtable_limit=2))
+    ops = event_ops(spark, sf_dir)
+    n = ops.agg(F.max("seq")).first()[0] + 1
+    for i in range(4):
+        low, high = n * i // 4, n * (i + 1) // 4
+        store.write_batch(ops.where((F.col("seq") >= low) & (F.col("seq") < high)).select((F.col("seq") - low).alias("seq"), F.col("k").alias("key"), F.col("v").alias("value")))
+    return _text(store.scan()).withColumn("flushed", F.lit(len(store.state.runs) > 0 and sum(s["closed"] for s in store.state.segments) < 2))

@@ -1,23 +1,32 @@
-"""The operation log: making one from any DataFrame, replay from an offset, retention by bytes."""
+"""The operation log: byte offsets, replay from an offset, truncation, retention by bytes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Operations, or sums of such ranges, that one window takes.
+WIDTH = 4096
 
-def op_log(df: DataFrame, seq: Column, key: Column, value: Column, deleted: Column | None = None) -> DataFrame:
-    """(seq, key, value) with an empty value where an operation deletes."""
-    empty = F.lit("").cast("binary")
-    live = F.coalesce(value.cast("binary"), empty)
-    return df.select(seq.cast("long").alias("seq"), key.cast("binary").alias("key"), (live if deleted is None else F.when(deleted, empty).otherwise(live)).alias("value"))
 
+def _before(sums: DataFrame, shard: str, size: str, depth: int) -> DataFrame:
+    """(shard, _before): the bytes of all shards below. Sums of WIDTH shards are summed first, `depth` times over, so
+    the one window that is not partitioned has a row for WIDTH ** (depth + 1) operations."""
+    if not depth:
+        order = Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(shard, F.coalesce(F.sum(size).over(order), F.lit(0)).alias("_before"))
+    upper = f"{shard}_{depth}"
+    held = sums.withColumn(upper, F.floor(F.col(shard) / WIDTH))
+    above = _before(held.groupBy(upper).agg(F.sum(size).alias(size)), upper, size, depth - 1)
+    order = Window.partitionBy(upper).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
+    inner = held.withColumn("_inner", F.coalesce(F.sum(size).over(order), F.lit(0)))
+    return inner.join(above, upper).select(shard, (F.col("_before") + F.col("_inner")).alias("_before"))
 
-def offsets(log: DataFrame, size: str = "size", shard: str = "_shard", width: int = 4096) -> DataFrame:
-    """start and end byte offset of each operation, in two steps: sums of seq ranges of `width`, then within them."""
+
+def offsets(log: DataFrame, size: str = "size", shard: str = "_shard", width: int = WIDTH) -> DataFrame:
+    """start and end byte offset of each operation: sums of seq ranges of `width` and of ranges of these, then within them."""
     held = log.withColumn(shard, F.floor(F.col("seq") / width))
-    sums = held.groupBy(shard).agg(F.sum(size).alias("_bytes"))
-    before = sums.select(shard, F.coalesce(F.sum("_bytes").over(Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = _before(held.groupBy(shard).agg(F.sum(size).alias("_bytes")), shard, "_bytes", 1)
     inner = F.sum(size).over(Window.partitionBy(shard).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     out = held.withColumn("_upto", inner).join(before, shard)
     return out.withColumn("end", F.col("_before") + F.col("_upto")).withColumn("start", F.col("end") - F.col(size)).drop(shard, "_before", "_upto")
@@ -28,7 +37,12 @@ def replay(log: DataFrame, offset: int, limit: int, size: str = "size") -> DataF
     return offsets(log, size).where((F.col("start") >= offset) & (F.col("end") <= offset + limit))
 
 
+def truncated(log: DataFrame, offset: int, size: str = "size") -> DataFrame:
+    """The log without the operations that end at or before a byte offset, as after a flush of these."""
+    return offsets(log, size).where(F.col("end") > offset)
+
+
 def retained(log: DataFrame, capacity: int, size: str = "size") -> DataFrame:
     """The newest whole operations that fit in `capacity` bytes of a ring."""
-    placed = offsets(log, size)
-    return placed.join(F.broadcast(placed.agg(F.max("end").alias("_total"))), how="cross").where(F.col("start") >= F.col("_total") - capacity).drop("_total")  # one row
+    total = log.agg(F.sum(size).alias("_total"))
+    return offsets(log, size).join(F.broadcast(total), how="cross").where(F.col("start") >= F.col("_total") - capacity).drop("_total")  # one row

@@ -14,17 +14,15 @@ def run_bytes() -> F.Column:
     return F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + ENTRY_OVERHEAD)
 
 
-def write_runs(state: DataFrame, root: str, next_id: int, level: int, options: Options, tier: int = 0) -> list[Run]:
-    """Write resolved rows (unique keys) as disjoint key-sorted runs of about options.target_run_bytes.
+def write_runs(state: DataFrame, root: str, next_id: int, level: int, options: Options, most_bytes: int, tier: int = 0) -> list[Run]:
+    """Write resolved rows (unique keys) as disjoint key-sorted runs of options.target_run_bytes or less, about.
 
-    One folder per write and one file per range partition; statistics of the files, a row each, come back.
+    most_bytes: those of the inputs, known from the manifest, so that the merge is not run for its size. One folder
+    per write and one file per range partition; statistics of the files, a row each, come back.
     """
     spark = state.sparkSession
     folder = f"{root}/runs/{uuid.uuid4().hex}"
-    size = state.agg(run_bytes().alias("b")).first()["b"]
-    if not size:
-        return []
-    parts = max(1, -(-size // options.target_run_bytes))
+    parts = max(1, -(-most_bytes // options.target_run_bytes))
     writer = state.repartitionByRange(parts, "key").sortWithinPartitions("key").write
     writer = writer.option("parquet.block.size", options.row_group_bytes).option("parquet.page.size", max(1024, options.block_bytes))
     writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", options.bloom_false_positive)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from copy import deepcopy
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .model import OPS, Bound, Options, Run, Task, Tiered
@@ -24,7 +25,8 @@ class Store:
     """Open with Store.open(spark, "file:///...", options). One writer; readers see one manifest version.
 
     put() and delete() gather in the driver until sync(), a read, a batch or a flush; write_batch() with a
-    DataFrame goes to the log without passing through the driver. Data is durable once in the log.
+    DataFrame goes to the log without passing through the driver. Data is durable once in the log. What a failed
+    call was given stays in the buffer, and the state changes with the commit of its manifest only.
     """
 
     def __init__(self, spark: SparkSession, root: str, options: Options):
@@ -55,10 +57,11 @@ class Store:
         if not key:
             raise ValueError("a key must have bytes")
 
-    def write_batch(self, batch: DataFrame | Iterable[tuple], batch_id: int | None = None) -> None:
+    def write_batch(self, batch: DataFrame | Iterable[tuple], batch_id: int | None = None, stream: str = "") -> None:
         """One commit of ordered operations: ("put", key, value) and ("delete", key) tuples, or a DataFrame with
-        columns seq (order in the batch), key, value. A streaming batch_id that was taken in before is skipped."""
-        if batch_id is not None and batch_id in self.state.batches:
+        columns seq (order in the batch), key, value. A batch_id that is not above the last one taken in from the
+        same stream is skipped; ids are those of a DataFrame's batches, and rise within a stream."""
+        if batch_id is not None and batch_id <= self.state.batches.get(stream, -1):
             return
         if not isinstance(batch, DataFrame):
             rows = list(batch)
@@ -68,32 +71,34 @@ class Store:
             self.sync()
             return
         self.sync()
-        self._append(batch.select(F.col("seq").cast("long").alias("seq"), F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit("").cast("binary")).alias("value")), batch_id)
+        self._append(batch.select(F.col("seq").cast("long").alias("seq"), F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit("").cast("binary")).alias("value")), batch_id, stream)
 
     def sync(self) -> None:
         """Write buffered operations to the log."""
         if self.buffer:
-            held, self.buffer = self.buffer, []
-            self._append(self.spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(held)], OPS))
+            n = len(self.buffer)
+            self._append(self.spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(self.buffer)], OPS), buffered=n)
 
-    def _append(self, ops: DataFrame, batch_id: int | None = None) -> None:
+    def _append(self, ops: DataFrame, batch_id: int | None = None, stream: str = "", buffered: int = 0) -> None:
         path = f"{self.root}/log/{uuid.uuid4().hex}"
-        base = self.state.next_seq
-        ops.withColumn("seq", F.col("seq") + base).write.parquet(path)
-        facts = self.spark.read.schema(OPS).parquet(path).agg(F.min("seq"), F.max("seq"), F.sum(entry_bytes()), F.count_if(F.col("key").isNull() | (F.octet_length("key") == 0))).first()
-        if facts[3]:
+        state, seen = deepcopy(self.state), Observation()
+        facts = [F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum(entry_bytes()).alias("n_bytes"), F.count_if(F.col("key").isNull() | (F.octet_length("key") == 0)).alias("bad")]
+        ops.withColumn("seq", F.col("seq") + state.next_seq).observe(seen, *facts).write.parquet(path)
+        found = seen.get
+        if found["bad"]:
             raise ValueError("a key must have bytes")
-        if facts[1] is not None:
-            last = self.state.segments[-1] if self.state.segments else None
-            held = (last["n_bytes"] if last and not last["closed"] else 0) + facts[2]
+        if found["last"] is not None:
+            last = state.segments[-1] if state.segments else None
+            held = (last["n_bytes"] if last and not last["closed"] else 0) + found["n_bytes"]
             if last and not last["closed"] and held >= self.options.target_run_bytes:
-                for s in self.state.segments:
+                for s in state.segments:
                     s["closed"] = True
-            self.state.segments.append({"path": path, "first_seq": facts[0], "last_seq": facts[1], "n_bytes": facts[2], "closed": facts[2] >= self.options.target_run_bytes})
-            self.state.next_seq = facts[1] + 1
+            state.segments.append({"path": path, "first_seq": found["first"], "last_seq": found["last"], "n_bytes": found["n_bytes"], "closed": found["n_bytes"] >= self.options.target_run_bytes})
+            state.next_seq = found["last"] + 1
         if batch_id is not None:
-            self.state.batches = [*self.state.batches, batch_id][-64:]
-        self.log.commit(self.state)
+            state.batches[stream] = batch_id
+        self.state = self.log.commit(state)
+        del self.buffer[:buffered]
         if sum(s["closed"] for s in self.state.segments) >= self.options.memtable_limit:
             self.force_flush()
 
@@ -120,7 +125,11 @@ class Store:
         return None if row is None else bytes(row[0])
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
-        return resolve.multi_get(self._ops(Bound(), Bound()), keys).select("key", "value")
+        """Live (key, value) rows of the keys (column key); runs outside the keys' range are not read."""
+        wanted = keys.select(F.col("key").cast("binary").alias("key")).distinct()
+        low, high = wanted.agg(F.min("key"), F.max("key")).first()
+        bounds = (Bound(), Bound()) if low is None else (Bound.included(bytes(low)), Bound.included(bytes(high)))
+        return resolve.multi_get(resolve.within(self._ops(*bounds), *bounds), wanted).select("key", "value")
 
     def level_stats(self) -> dict[int, tuple[int, int]]:
         return self.state.level_stats()
@@ -132,13 +141,14 @@ class Store:
         self.sync()
         if not self.state.segments:
             return
-        tier = max((r.tier for r in self.state.runs), default=-1) + 1 if isinstance(self.options.compaction, Tiered) else 0
-        made = write_runs(resolve.latest(self.pending()), self.root, self.state.next_run, 0, self.options, tier)
-        self.state.runs += made
-        self.state.next_run += len(made)
-        self.state.flushed_seq = self.state.next_seq - 1
-        self.state.segments = []
-        self.log.commit(self.state)
+        state = deepcopy(self.state)
+        tier = max((r.tier for r in state.runs), default=-1) + 1 if isinstance(self.options.compaction, Tiered) else 0
+        made = write_runs(resolve.latest(self.pending()), self.root, state.next_run, 0, self.options, sum(s["n_bytes"] for s in state.segments), tier)
+        state.runs += made
+        state.next_run += len(made)
+        state.flushed_seq = state.next_seq - 1
+        state.segments = []
+        self.state = self.log.commit(state)
         self.compact()
         self.vacuum()
 
@@ -151,13 +161,14 @@ class Store:
         return done
 
     def _execute(self, task: Task) -> None:
-        chosen = [r for r in self.state.runs if r.run_id in set(task.inputs)]
+        state = deepcopy(self.state)
+        chosen = [r for r in state.runs if r.run_id in set(task.inputs)]
         merged = resolve.latest(read_runs(self.spark, chosen))
         merged = resolve.visible(merged) if task.bottom else merged
-        output: list[Run] = write_runs(merged, self.root, self.state.next_run, task.target, self.options)
-        self.state.next_run += len(output)
-        self.state.runs = compaction.apply(self.state.runs, task, output, self.options.compaction)
-        self.log.commit(self.state)
+        output: list[Run] = write_runs(merged, self.root, state.next_run, task.target, self.options, sum(r.n_bytes for r in chosen))
+        state.next_run += len(output)
+        state.runs = compaction.apply(state.runs, task, output, self.options.compaction)
+        self.state = self.log.commit(state)
 
     def force_full_compaction(self) -> None:
         """Merge all runs into level 1; only without a policy."""

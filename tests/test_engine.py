@@ -2,11 +2,12 @@ import random
 import uuid
 
 import pytest
-from keystrata.functions.bloom import Bits, Bloom, bits_for, hashes_for, murmur3
+from keystrata.functions.bloom import Bits, Bloom, bits_for, hashes_for, murmur3, murmur3_all
 from keystrata.model import Bound, Leveled, Options, Run, Simple, Tiered
-from keystrata.operators import blocks, memtable, resolve
+from keystrata.operators import blocks, cache, memtable, resolve
 from keystrata.plans import compaction
 from keystrata.queries import ORACLES, QUERIES
+from keystrata.sources import oplog
 from keystrata.store import Store
 from pyspark.sql import functions as F
 
@@ -31,6 +32,57 @@ def test_bloom_sizes_and_membership():
     assert murmur3(b"", 0) == 0 and murmur3(b"abcd", 0) == 0x43ED676A
 
 
+def test_murmur_of_many_keys():
+    keys = [bytes(random.Random(i).randrange(256) for _ in range(i % 23)) for i in range(200)]
+    assert murmur3_all(keys, range(5)).tolist() == [[murmur3(k, s) for s in range(5)] for k in keys]
+
+
+def test_failed_calls_lose_nothing(spark, monkeypatch):
+    root = f"file:///tmp/checkpoints/keystrata/test-{uuid.uuid4().hex}"
+    store = Store.open(spark, root)
+    store.put("a", "1")
+    commit = store.log.commit
+
+    def fails(manifest):
+        raise OSError("no space")
+
+    monkeypatch.setattr(store.log, "commit", fails)
+    with pytest.raises(OSError):
+        store.sync()
+    monkeypatch.setattr(store.log, "commit", commit)
+    assert store.get("a") == b"1" and store.state.next_seq == 1
+    batch = spark.createDataFrame([(0, "b", "2")], "seq long, key string, value string")
+    other = spark.createDataFrame([(0, "c", "3")], "seq long, key string, value string")
+    store.write_batch(batch, 0, "one")
+    store.write_batch(other, 0, "two")
+    store.write_batch(other.withColumn("value", F.lit("4")), 0, "two")
+    assert sorted(bytes(r.key) + bytes(r.value) for r in Store.open(spark, root).scan().collect()) == [b"a1", b"b2", b"c3"]
+    with pytest.raises(ValueError):
+        store.write_batch(spark.createDataFrame([(0, "", "2")], batch.schema))
+    assert store.state.next_seq == 3
+
+
+def test_lru_against_a_list(spark):
+    rnd = random.Random(4)
+    rows = [(i % 3, i, rnd.choice([rnd.randrange(5), rnd.randrange(40)])) for i in range(600)]
+    held, expected = {0: [], 1: [], 2: []}, []
+    for g, at, item in rows:
+        expected.append((at, item, item in held[g]))
+        held[g] = ([x for x in held[g] if x != item] + [item])[-7:]
+    out = cache.lru_hits(spark.createDataFrame(rows, "grp long, seq long, item long").repartition(5), 7)
+    assert sorted(map(tuple, out.collect())) == expected
+
+
+def test_offsets_over_many_ranges(spark):
+    log = spark.range(5000).select(F.col("id").alias("seq"), (F.col("id") % 7 + 1).alias("size"))
+    upto, expected = 0, []
+    for i in range(5000):
+        expected.append((i, upto, upto + i % 7 + 1))
+        upto += i % 7 + 1
+    out = oplog.offsets(log, width=16)
+    assert sorted(map(tuple, out.select("seq", "start", "end").collect())) == expected
+
+
 def test_bits():
     bits = Bits(20)
     bits.set(9), bits.toggle(10), bits.set(3), bits.unset(3)
