@@ -218,12 +218,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # the hub was compared with all, so a bucket is settled when its other members are in one component
     counted = placed.where("id <> hub").groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_buckets = counted.groupBy("bucket").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    waiting = materialise(placed.where("id <> hub").join(open_buckets, "bucket").select("id", "band", "bucket", "component", (F.col("component") != F.col("largest")).alias("asks")), "open-buckets")
+    waiting = materialise(salted_join(placed.where("id <> hub"), open_buckets, "bucket", "id").select("id", "band", "bucket", "component", (F.col("component") != F.col("largest")).alias("asks")), "open-buckets")
     if waiting.count():
         own_bucket = F.xxhash64("band", F.expr(f"substring(signature, band * {4 * ROWS} + 1, {4 * ROWS})")) == F.col("bucket")
         waiting = waiting.distinct().join(members, "id").where(own_bucket)
         sums = waiting.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        dealt = waiting.join(sums, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "signature"), F.col("blocks")).cast("int"))
+        dealt = salted_join(waiting, sums, "bucket", "id").withColumn("own", F.pmod(F.xxhash64("id", "signature"), F.col("blocks")).cast("int"))
         every, slim_columns = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), ["id", "n_shingles", "signature", "component", "asks", "bucket"]
         listed = dealt.withColumn("asks", F.lit(False)).select(*slim_columns, F.col("own").alias("block"), every.alias("asking_block"))
         asking = dealt.where("asks").select(*slim_columns, every.alias("block"), F.col("own").alias("asking_block"))
