@@ -171,6 +171,21 @@ def test_freeze_and_blocks(spark):
     assert [r.block for r in blocks.locate(index, wanted).collect()] == [2, 2, 2]
 
 
+@pytest.mark.parametrize("width, limit", [(7, 40), (64, 40), (500, 1), (16, 2000), (1 << 22, 300)])
+def test_freeze_over_ranges(spark, width, limit):
+    rnd = random.Random(width)
+    rows = [(3 * i + i // 90 * 200, "k" * rnd.choice([0, 0, 1, 9, 60]), rnd.choice([None, "", "v" * 5])) for i in range(400)]
+    expected, first, count, held = [], None, 0, 0
+    for seq, k, v in rows:
+        first, count, held = seq if first is None else first, count + 1, held + len(k) + len(v or "")
+        if held >= limit:
+            expected.append((len(expected), first, seq, count, held))
+            first, count, held = None, 0, 0
+    ops = spark.createDataFrame(rows, "seq long, key string, value string").repartition(3)
+    assert sorted(map(tuple, memtable.freeze_points(ops, limit, width=width).collect())) == expected
+    assert memtable.freeze_points(ops.limit(0), limit).collect() == []
+
+
 def test_queries_agree_with_duckdb(spark):
     import duckdb
 
