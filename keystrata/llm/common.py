@@ -39,9 +39,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder, as zstandard, and read it again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
