@@ -18,8 +18,10 @@ import pyarrow as pa
 from .common import sized_slices, text_buffers
 from .words import mix, words
 
-#: Pieces that a worker remembers; further new pieces are encoded in each slice.
+#: Pieces that a worker remembers; further and very long new pieces are encoded in each slice.
 REMEMBERED = 1_000_000
+#: Bytes of the longest piece that is remembered.
+LONGEST = 256
 #: Bytes of texts that are looked up together, and of a text after which it is cut at a space.
 SLICE, LONG = 1 << 21, 1 << 22
 #: Pieces in one string for the library.
@@ -128,7 +130,7 @@ class Encoder:
         for i in missing:
             found[i] = learnt[pieces[i]]
         if len(self.known) < self.remembered:
-            self.known.update(learnt)
+            self.known.update((p, ids) for p, ids in learnt.items() if len(p) <= LONGEST)
         return found
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:

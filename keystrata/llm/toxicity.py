@@ -28,6 +28,8 @@ FOLDS = 3
 LANGUAGES = 8
 #: Distinct words that a worker remembers, if not told otherwise.
 REMEMBERED = 250_000
+#: Characters of the longest word that is remembered; longer ones are looked at each time.
+LONGEST = 256
 
 
 def bare(word: str) -> str:
@@ -202,7 +204,7 @@ class _Scorer:
         for word in found - self.seen:
             features = [f for f in word_features(word) if f in self.used]
             buckets.update(features)
-            if len(self.seen) < self.remembered:
+            if len(word) <= LONGEST and len(self.seen) < self.remembered:
                 self.seen.add(word)
                 if features:
                     self.hits[word] = features
