@@ -143,7 +143,7 @@ class Store:
             return
         state = deepcopy(self.state)
         tier = max((r.tier for r in state.runs), default=-1) + 1 if isinstance(self.options.compaction, Tiered) else 0
-        made = write_runs(resolve.latest(self.pending()), self.root, state.next_run, 0, self.options, sum(s["n_bytes"] for s in state.segments), tier)
+        made = write_runs(resolve.latest(self.pending()), self.root, state.next_run, 0, self.options, tier)
         state.runs += made
         state.next_run += len(made)
         state.flushed_seq = state.next_seq - 1
@@ -165,7 +165,7 @@ class Store:
         chosen = [r for r in state.runs if r.run_id in set(task.inputs)]
         merged = resolve.latest(read_runs(self.spark, chosen))
         merged = resolve.visible(merged) if task.bottom else merged
-        output: list[Run] = write_runs(merged, self.root, state.next_run, task.target, self.options, sum(r.n_bytes for r in chosen))
+        output: list[Run] = write_runs(merged, self.root, state.next_run, task.target, self.options)
         state.next_run += len(output)
         state.runs = compaction.apply(state.runs, task, output, self.options.compaction)
         self.state = self.log.commit(state)

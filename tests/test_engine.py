@@ -3,11 +3,11 @@ import uuid
 
 import pytest
 from keystrata.functions.bloom import Bits, Bloom, bits_for, hashes_for, murmur3, murmur3_all
-from keystrata.model import Bound, Leveled, Options, Run, Simple, Tiered
+from keystrata.model import OPS, Bound, Leveled, Options, Run, Simple, Tiered
 from keystrata.operators import blocks, cache, memtable, resolve
 from keystrata.plans import compaction
 from keystrata.queries import ORACLES, QUERIES
-from keystrata.sources import oplog
+from keystrata.sources import oplog, runs
 from keystrata.store import Store
 from pyspark.sql import functions as F
 
@@ -155,6 +155,37 @@ def test_store_against_a_dict(spark, policy):
         store.put("", "x")
 
 
+def test_runs_are_sized_by_their_rows(spark, tmp_path):
+    import duckdb
+
+    ops = spark.range(20000).select(F.col("id").alias("seq"), F.format_string("key%05d", F.col("id") % 300).alias("key"), F.concat(F.lit("value"), F.col("id") % 7).alias("value"))
+    store = Store.open(spark, f"file://{tmp_path}/store", Options(target_run_bytes=1024))
+    store.write_batch(ops)
+    store.force_flush()
+    held = store.state.runs
+    assert sum(r.n_rows for r in held) == 300 and 6 <= len(held) <= 9 and all(r.n_bytes <= 1100 for r in held)
+    assert all(a.last < b.first for a, b in zip(held, held[1:], strict=False))
+    assert sorted((bytes(r.key).decode(), bytes(r.value).decode()) for r in store.scan().collect()) == [(key(i), f"value{max(range(i, 20000, 300)) % 7}") for i in range(300)]
+    for r in held:
+        name = r.path.removeprefix("file://")
+        length = duckdb.sql(f"SELECT bloom_filter_length FROM parquet_metadata('{name}') WHERE path_in_schema = 'key'").fetchall()
+        assert len(length) == 1 and 0 < length[0][0] < 1024
+        found = duckdb.sql(f"SELECT bool_or(NOT bloom_filter_excludes) FROM parquet_bloom_probe('{name}', 'key', '{r.first.decode()}'::BLOB)").fetchall()
+        assert found == [(True,)]
+
+
+def test_runs_of_many_tasks_and_of_one_key(spark, tmp_path, monkeypatch):
+    rows = [(i, f"k{i:04d}".encode(), b"x" * (i % 50)) for i in range(200)] + [(5000, b"long", b"y" * 5000)]
+    for most, target in [(1, 300), (3, 300), (64, 300), (64, 1), (64, 1 << 20)]:
+        monkeypatch.setattr(runs, "MOST_RUNS", most)
+        made = runs.write_runs(spark.createDataFrame(rows, OPS).repartition(3), f"file://{tmp_path}/{most}-{target}", 5, 2, Options(target_run_bytes=target))
+        assert [r.run_id for r in made] == list(range(5, 5 + len(made))) and sum(r.n_rows for r in made) == 201
+        assert all(a.last < b.first for a, b in zip(made, made[1:], strict=False))
+        assert len(made) == 201 if (most, target) == (64, 1) else len(made) == 1 if target > 300 else len(made) > 20
+        assert sorted((r.seq, bytes(r.key), bytes(r.value)) for r in runs.read_runs(spark, made).collect()) == rows
+    assert runs.write_runs(spark.createDataFrame([], OPS), f"file://{tmp_path}/none", 0, 0, Options()) == []
+
+
 def test_three_way_merge(spark):
     runs = [spark.createDataFrame(r, "key string, value string") for r in ([("e", "4")], [("a", "1"), ("b", "2"), ("c", "3")], [("b", ""), ("c", "4"), ("d", "5")])]
     merged = resolve.merge_runs(runs)
