@@ -186,6 +186,17 @@ def test_runs_of_many_tasks_and_of_one_key(spark, tmp_path, monkeypatch):
     assert runs.write_runs(spark.createDataFrame([], OPS), f"file://{tmp_path}/none", 0, 0, Options()) == []
 
 
+def test_repeated_operations_are_one_run_of_a_level(spark, tmp_path):
+    ops = spark.range(8000).select(F.col("id").alias("seq"), F.format_string("key%05d", F.col("id") % 40).alias("key"), F.lit("value").alias("value"))
+    store = Store.open(spark, f"file://{tmp_path}/store", Options(target_run_bytes=1024, compaction=Leveled(level0_trigger=2)))
+    store.write_batch(ops)
+    store.force_flush()
+    assert [(r.level, r.n_rows) for r in store.state.runs] == [(0, 40)]
+    store.write_batch(ops.where("seq % 40 < 20").withColumn("value", F.lit("")))
+    store.force_flush()
+    assert [(r.level, r.n_rows) for r in store.state.runs] == [(4, 20)]
+
+
 def test_three_way_merge(spark):
     runs = [spark.createDataFrame(r, "key string, value string") for r in ([("e", "4")], [("a", "1"), ("b", "2"), ("c", "3")], [("b", ""), ("c", "4"), ("d", "5")])]
     merged = resolve.merge_runs(runs)
