@@ -409,7 +409,8 @@ def outcome(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
     store = filled_store(spark, sf_dir, options)
     if options.compaction is None:
         store.force_full_compaction()
-    held = [runs.read_runs(spark, [r]).select(F.lit(r.level).cast("long").alias("level"), F.lit(r.tier).cast("long").alias("tier"), "value") for r in store.state.runs]
+    places = sorted({(r.level, r.tier) for r in store.state.runs})
+    held = [runs.read_runs(spark, [r for r in store.state.runs if (r.level, r.tier) == at]).select(F.lit(at[0]).cast("long").alias("level"), F.lit(at[1]).cast("long").alias("tier"), "value") for at in places]
     rows = held[0] if held else spark.createDataFrame([], "level long, tier long, value binary")
     for more in held[1:]:
         rows = rows.unionByName(more)

@@ -6,7 +6,7 @@ from keystrata.functions.bloom import Bits, Bloom, bits_for, hashes_for, murmur3
 from keystrata.model import OPS, Bound, Leveled, Options, Run, Simple, Tiered
 from keystrata.operators import blocks, cache, memtable, resolve
 from keystrata.plans import compaction
-from keystrata.queries import ORACLES, QUERIES
+from keystrata.queries import ORACLES, QUERIES, outcome
 from keystrata.sources import oplog, runs
 from keystrata.store import Store
 from pyspark.sql import functions as F
@@ -197,6 +197,15 @@ def test_repeated_operations_are_one_run_of_a_level(spark, tmp_path):
     assert [(r.level, r.n_rows) for r in store.state.runs] == [(4, 20)]
 
 
+def test_outcome_reads_a_level_at_once(spark):
+    found = outcome(spark, SF, Options(target_run_bytes=64, compaction=Leveled(level0_trigger=2)))
+    rows = {(r.level, r.tier): (r.n_rows, r.tombstones, r.overlaps) for r in found.collect()}
+    expected = QUERIES["q04_scan_full"](spark, SF).count()
+    assert rows == {(4, 0): (expected, 0, 0)}
+    scans = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert scans.length() == 1
+
+
 def test_three_way_merge(spark):
     runs = [spark.createDataFrame(r, "key string, value string") for r in ([("e", "4")], [("a", "1"), ("b", "2"), ("c", "3")], [("b", ""), ("c", "4"), ("d", "5")])]
     merged = resolve.merge_runs(runs)
