@@ -47,7 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     value = F.when(F.col("event_type") == "error", "").otherwise(F.concat("event_type", F.lit(":"), "props"))
-    return events.select(F.col("event_id").alias("seq"), F.format_string("key%05d", "user_id").alias("k"), value.alias("v"))
+    # '%05d': padding takes a fraction of the time of formatting, which stays for signed ids and nulls
+    digits = F.col("user_id").cast("string")
+    padded = F.concat(F.lit("key"), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")))
+    key = F.when(F.col("user_id") >= 0, padded).otherwise(F.format_string("key%05d", "user_id"))
+    return events.select(F.col("event_id").alias("seq"), key.alias("k"), value.alias("v"))
 
 
 def latest(ops: DataFrame) -> DataFrame:

@@ -18,14 +18,16 @@ def run_bytes() -> F.Column:
     return F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + ENTRY_OVERHEAD)
 
 
-def write_runs(state: DataFrame, root: str, next_id: int, level: int, options: Options, tier: int = 0) -> list[Run]:
+def write_runs(state: DataFrame, root: str, next_id: int, level: int, options: Options, tier: int = 0, most_bytes: int | None = None) -> list[Run]:
     """Write resolved rows (unique keys) as disjoint key-sorted runs of options.target_run_bytes or less, about.
 
     The rows are persisted until they are written, as their own bytes and not those of the inputs give the number of
     runs: a log has many operations of a key. One folder per write and one file per run; a task sorts a range and
     cuts it by rows into several runs where these are small. Statistics of the files, a row each, come back.
+    most_bytes: what the rows can have at most; persisted rows keep the partitions of their shuffle, which are many
+    and nearly empty where the inputs are small.
     """
-    state = state.persist()
+    state = (state if most_bytes is None else state.coalesce(max(1, -(-most_bytes // TASK_BYTES)))).persist()
     try:
         n_rows, n_bytes = state.agg(F.count("*"), run_bytes()).first()
         return _write(state, f"{root}/runs/{uuid.uuid4().hex}", n_rows, n_bytes, next_id, level, options, tier) if n_rows else []
@@ -50,9 +52,9 @@ def _write(state: DataFrame, folder: str, n_rows: int, n_bytes: int, next_id: in
     stats = (
         spark.read.schema(OPS).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"))
         .agg(F.hex(F.min("key")).alias("first"), F.hex(F.max("key")).alias("last"), F.count("*").alias("n"), run_bytes().alias("b"), F.max("seq").alias("seq"))
-        .orderBy("first").collect()
+        .collect()
     )
-    return [Run(next_id + i, level, s["path"], s["first"], s["last"], s["n"], s["b"], s["seq"], tier) for i, s in enumerate(stats)]
+    return [Run(next_id + i, level, s["path"], s["first"], s["last"], s["n"], s["b"], s["seq"], tier) for i, s in enumerate(sorted(stats, key=lambda s: s["first"]))]
 
 
 def read_runs(spark: SparkSession, runs: list[Run]) -> DataFrame:

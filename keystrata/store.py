@@ -83,7 +83,8 @@ class Store:
         path = f"{self.root}/log/{uuid.uuid4().hex}"
         state, seen = deepcopy(self.state), Observation()
         facts = [F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum(entry_bytes()).alias("n_bytes"), F.count_if(F.col("key").isNull() | (F.octet_length("key") == 0)).alias("bad")]
-        ops.withColumn("seq", F.col("seq") + state.next_seq).observe(seen, *facts).write.parquet(path)
+        # a flush reads a segment in tasks of whole row groups: with the default size few tasks would do it all
+        ops.withColumn("seq", F.col("seq") + state.next_seq).observe(seen, *facts).write.option("parquet.block.size", self.options.row_group_bytes).parquet(path)
         found = seen.get
         if found["bad"]:
             raise ValueError("a key must have bytes")
@@ -143,7 +144,7 @@ class Store:
             return
         state = deepcopy(self.state)
         tier = max((r.tier for r in state.runs), default=-1) + 1 if isinstance(self.options.compaction, Tiered) else 0
-        made = write_runs(resolve.latest(self.pending()), self.root, state.next_run, 0, self.options, tier)
+        made = write_runs(resolve.latest(self.pending()), self.root, state.next_run, 0, self.options, tier, sum(s["n_bytes"] for s in state.segments))
         state.runs += made
         state.next_run += len(made)
         state.flushed_seq = state.next_seq - 1
@@ -163,10 +164,13 @@ class Store:
     def _execute(self, task: Task) -> None:
         state = deepcopy(self.state)
         chosen = [r for r in state.runs if r.run_id in set(task.inputs)]
-        merged = resolve.latest(read_runs(self.spark, chosen))
-        merged = resolve.visible(merged) if task.bottom else merged
-        output: list[Run] = write_runs(merged, self.root, state.next_run, task.target, self.options)
-        state.next_run += len(output)
+        if compaction.moves(chosen, task):
+            output: list[Run] = chosen
+        else:
+            merged = resolve.latest(read_runs(self.spark, chosen))
+            merged = resolve.visible(merged) if task.bottom else merged
+            output = write_runs(merged, self.root, state.next_run, task.target, self.options, most_bytes=sum(r.n_bytes for r in chosen))
+            state.next_run += len(output)
         state.runs = compaction.apply(state.runs, task, output, self.options.compaction)
         self.state = self.log.commit(state)
 

@@ -3,10 +3,10 @@ import uuid
 
 import pytest
 from keystrata.functions.bloom import Bits, Bloom, bits_for, hashes_for, murmur3, murmur3_all
-from keystrata.model import OPS, Bound, Leveled, Options, Run, Simple, Tiered
+from keystrata.model import OPS, Bound, Leveled, Options, Run, Simple, Task, Tiered
 from keystrata.operators import blocks, cache, memtable, resolve
 from keystrata.plans import compaction
-from keystrata.queries import ORACLES, QUERIES, outcome
+from keystrata.queries import ORACLES, QUERIES, event_ops, outcome
 from keystrata.sources import oplog, runs
 from keystrata.store import Store
 from pyspark.sql import functions as F
@@ -197,6 +197,61 @@ def test_repeated_operations_are_one_run_of_a_level(spark, tmp_path):
     assert [(r.level, r.n_rows) for r in store.state.runs] == [(4, 20)]
 
 
+def test_small_writes_are_few_tasks(spark, tmp_path):
+    rows = [(i, key(i).encode(), b"v") for i in range(300)]
+    store = Store.open(spark, f"file://{tmp_path}/store", Options(target_run_bytes=1024))
+    store.write_batch(spark.createDataFrame(rows, OPS).repartition(2))
+    held, tracker = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.sparkContext.setJobGroup(str(tmp_path), "")
+    try:
+        store.force_flush()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(str(tmp_path)) for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(s.numCompletedTasks for s in stages if s) < 60
+    assert sorted((bytes(r.key), bytes(r.value)) for r in store.scan().collect()) == [r[1:] for r in rows]
+
+
+def test_segments_can_be_read_by_many_tasks(spark, tmp_path):
+    import duckdb
+
+    ops = spark.range(0, 60000, 1, 1).select(F.col("id").alias("seq"), F.format_string("key%05d", "id").alias("key"), F.lit("v").alias("value"))
+    store = Store.open(spark, f"file://{tmp_path}/store", Options(row_group_bytes=1 << 16))
+    store.write_batch(ops)
+    path = store.state.segments[0]["path"].removeprefix("file://")
+    assert duckdb.sql(f"SELECT count(DISTINCT row_group_id) FROM parquet_metadata('{path}/*.parquet')").fetchall()[0][0] > 3
+    assert store.pending().count() == 60000
+
+
+def test_runs_that_meet_nothing_are_moved(spark, tmp_path):
+    assert compaction.moves([run(0, 1), run(1, 1)], Task([0, 1], 2, False))
+    assert not compaction.moves([run(0, 1), run(1, 1)], Task([0, 1], 2, True))
+    assert not compaction.moves([run(0, 1), run(1, 2)], Task([0, 1], 2, False))
+    assert not compaction.moves([run(0, 0)], Task([0], 1, False)) and not compaction.moves([run(0, 1)], Task([0], 1, False))
+    store = Store.open(spark, f"file://{tmp_path}/store", Options(target_run_bytes=300, compaction=Leveled(level0_trigger=99), keep_versions=1))
+    store.write_batch([("put", key(i), "v") for i in range(60)] + [("delete", key(7))])
+    store.force_flush()
+    store._execute(Task([r.run_id for r in store.state.runs], 1, False))
+    before = store.state.runs
+    store._execute(Task([r.run_id for r in before], 2, False))
+    store.vacuum()
+    assert len(before) > 1 and [(r.path, r.level) for r in store.state.runs] == [(r.path, 2) for r in before]
+    assert [bytes(r.key).decode() for r in store.scan().collect()] == [key(i) for i in range(60) if i != 7]
+    store._execute(Task([r.run_id for r in store.state.runs], 4, True))
+    assert sum(r.n_rows for r in store.state.runs) == 59
+
+
+def test_keys_of_any_user(spark, tmp_path):
+    ids = [0, 9, 12345, 99999, 100000, 123456789012, -1, -99999, -100000, None]
+    schema = "event_id long, user_id long, event_type string, props string"
+    spark.createDataFrame([(i, u, "view", "p") for i, u in enumerate(ids)], schema).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.seq: r.k for r in event_ops(spark, str(tmp_path)).collect()}
+    expected = spark.createDataFrame(list(enumerate(ids)), "seq long, user long").select("seq", F.format_string("key%05d", "user"))
+    assert found == {r[0]: r[1] for r in expected.collect()}
+
+
 def test_outcome_reads_a_level_at_once(spark):
     found = outcome(spark, SF, Options(target_run_bytes=64, compaction=Leveled(level0_trigger=2)))
     rows = {(r.level, r.tier): (r.n_rows, r.tombstones, r.overlaps) for r in found.collect()}
